@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from itertools import chain
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0      　"
 
 
+def ship(module: str) -> None:
+    """Send a module's Python functions with the job, so executors need no install of it."""
+    register_pickle_by_value(sys.modules[module])
+
+
 def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 

@@ -7,8 +7,11 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerloom.functions.base import col
+from ledgerloom.functions.base import col, ship
+
+ship(__name__)
 
 
 def _ratio(left: str, right: str) -> float:
@@ -19,7 +22,6 @@ def _ratio(left: str, right: str) -> float:
     return SequenceMatcher(None, left, right).ratio()
 
 
-@F.pandas_udf("double")
 def _ratios(left: pd.Series, right: pd.Series) -> pd.Series:
     seen: dict[tuple[str, str], float] = {}
     out = []
@@ -43,7 +45,7 @@ def similarity(left: Column | str, right: Column | str) -> Column:
         .when((a == "") | (b == ""), F.lit(0.0))
     )
     open_pair = settled.isNull()
-    scored = _ratios(
+    scored = F.pandas_udf(_ratios, T.DoubleType())(
         F.when(open_pair, a).otherwise(F.lit("")), F.when(open_pair, b).otherwise(F.lit(""))
     )
     return F.coalesce(settled, scored)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerloom.functions.base import blank, col, squeeze, strip
+from ledgerloom.functions.base import blank, col, ship, squeeze, strip
+
+ship(__name__)
 
 
-@F.pandas_udf("string")
 def _compose(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
@@ -20,7 +23,8 @@ def compose(value: Column | str) -> Column:
     """Unicode compatibility form. ASCII text never leaves the JVM: it is passed as null."""
     text = col(value)
     exotic = text.rlike(r"[^\x00-\x7F]")
-    return F.when(exotic, _compose(F.when(exotic, text))).otherwise(text)
+    composed = F.pandas_udf(_compose, T.StringType())(F.when(exotic, text))
+    return F.when(exotic, composed).otherwise(text)
 
 
 def clean_text(value: Column | str, compatibility: bool = True) -> Column:
@@ -56,8 +60,6 @@ def is_empty(value: Column | str) -> Column:
 
 def standard_header(name: str) -> str:
     """Snake-case one header on the driver; headers are schema, not data."""
-    import re
-
     return re.sub(r"[^a-z0-9_]+", "_", name.strip().lower()).strip("_")
 
 

@@ -52,4 +52,6 @@ def load() -> None:
     """Import every module that registers queries."""
     from ledgerloom.plans import (  # noqa: F401
         queries_derive,
+        queries_functions,
+        queries_ingest,
     )
