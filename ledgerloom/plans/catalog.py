@@ -34,15 +34,18 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def query(name: str, sql: str | None = None):
-    """Register a function of :class:`Fixtures`, with its SQL when there is one."""
+def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None):
+    """Register a function of :class:`Fixtures`, with its SQL when there is one.
+
+    ``extra`` holds named tables the SQL uses besides the business tables.
+    """
 
     def register(build: Callable[[Fixtures], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, folder: plain(build(Fixtures(spark, folder)))
         if sql is not None:
-            ORACLES[name] = with_tables(sql)
+            ORACLES[name] = with_tables(sql, extra)
         return build
 
     return register
@@ -54,4 +57,5 @@ def load() -> None:
         queries_derive,
         queries_functions,
         queries_ingest,
+        queries_matching,
     )

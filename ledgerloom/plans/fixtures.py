@@ -6,8 +6,6 @@ validation rule has rows that pass and rows that fail.
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from ledgerloom.functions.amounts import MONEY
 from ledgerloom.functions.identifiers import canonical_id, padded
 from ledgerloom.operators import derive
 from ledgerloom.operators.derive import id_number, same_number
+from ledgerloom.session import has_shared_dir, staging_path
 
 
 def every(number: Column | str, step: int, place: int = 0) -> Column:
@@ -27,12 +26,40 @@ def money(value: Column | str) -> Column:
     return value.cast(MONEY)
 
 
+# Derived tables that many queries read are written once per session and folder, as they
+# would be stored in practice; short projections stay lazy.
+STORED = ["orders", "payments", "fees", "refunds", "batches", "settlements",
+          "settlement_payments", "bank_records", "invoices", "gst_records", "books"]
+_PATHS: dict[tuple[str, str, str], str] = {}
+
+
 class Fixtures:
-    """Lazily built frames over one folder of driver tables."""
+    """Business tables over one folder of driver tables."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._frames: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or not hasattr(type(self), f"_build_{name}"):
+            raise AttributeError(name)
+        if name not in self._frames:
+            stored = name in STORED and has_shared_dir(self.spark)
+            self._frames[name] = self._stored(name) if stored else self.build(name)
+        return self._frames[name]
+
+    def build(self, name: str) -> DataFrame:
+        """The table as a plan over its inputs."""
+        return getattr(self, f"_build_{name}")()
+
+    def _stored(self, name: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _PATHS:
+            path = staging_path(self.spark, name)
+            self.build(name).write.parquet(path)
+            _PATHS[key] = path
+        return self.spark.read.parquet(_PATHS[key])
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -43,12 +70,10 @@ class Fixtures:
                  "books", "adjustments"]
         return {name: getattr(self, name) for name in names}
 
-    @cached_property
     def _merchant_total(self) -> Column:
         return self.raw("supplier").agg(F.count(F.lit(1))).scalar()
 
-    @cached_property
-    def merchants(self) -> DataFrame:
+    def _build_merchants(self) -> DataFrame:
         key = F.col("s_suppkey")
         return self.raw("supplier").select(
             padded("MER", key + 1).alias("merchant_id"),
@@ -59,19 +84,17 @@ class Fixtures:
             F.lit("INR").alias("currency"), F.lit("ACTIVE").alias("status"),
         )
 
-    @cached_property
-    def customers(self) -> DataFrame:
+    def _build_customers(self) -> DataFrame:
         key = F.col("c_custkey")
         return self.raw("customer").select(
             padded("CUS", key + 1).alias("customer_id"),
-            padded("MER", key % self._merchant_total + 1).alias("merchant_id"),
+            padded("MER", key % self._merchant_total() + 1).alias("merchant_id"),
             F.col("c_name").alias("name"),
             F.concat(F.lit("c"), key.cast("string"), F.lit("@example.com")).alias("email"),
             F.concat(F.lit("ST"), (F.col("c_nationkey") % 3).cast("string")).alias("state"),
         )
 
-    @cached_property
-    def orders(self) -> DataFrame:
+    def _build_orders(self) -> DataFrame:
         status = (F.when(F.col("o_orderstatus") == "F", "COMPLETED")
                   .when(F.col("o_orderstatus") == "O", "PENDING").otherwise("CANCELLED"))
         base = self.raw("orders").select(
@@ -104,8 +127,7 @@ class Fixtures:
             "seller_state", "buyer_state",
         )
 
-    @cached_property
-    def payments(self) -> DataFrame:
+    def _build_payments(self) -> DataFrame:
         n = id_number("order_id")
         method = (F.when(every(n, 4), "UPI").when(every(n, 4, 1), "CARD")
                   .when(every(n, 4, 2), "NETBANKING").otherwise("WALLET"))
@@ -126,12 +148,10 @@ class Fixtures:
             (F.col("order_date") + later).alias("payment_date"),
         )
 
-    @cached_property
-    def fees(self) -> DataFrame:
+    def _build_fees(self) -> DataFrame:
         return derive.derive_fees(self.payments).filter(~every(id_number("payment_id"), 71))
 
-    @cached_property
-    def refunds(self) -> DataFrame:
+    def _build_refunds(self) -> DataFrame:
         n = id_number("payment_id")
         amount = F.col("amount")
         kind = F.when(every(n, 3), "FULL").otherwise("PARTIAL")
@@ -148,20 +168,17 @@ class Fixtures:
             "currency",
         )
 
-    @cached_property
-    def batches(self) -> DataFrame:
+    def _build_batches(self) -> DataFrame:
         return derive.assign_batches(self.payments)
 
-    @cached_property
-    def settlements(self) -> DataFrame:
+    def _build_settlements(self) -> DataFrame:
         n = id_number("settlement_id")
         built = derive.derive_settlements(self.batches, self.fees, self.refunds)
         return built.withColumn("net_amount", F.when(
             every(n, 37), money(F.col("net_amount") + money("1.00")))
             .otherwise(F.col("net_amount")))
 
-    @cached_property
-    def settlement_payments(self) -> DataFrame:
+    def _build_settlement_payments(self) -> DataFrame:
         n = id_number("payment_id")
         links = derive.derive_links(self.batches)
         return links.withColumn("allocated_amount", F.when(
@@ -169,8 +186,7 @@ class Fixtures:
             every(n, 89), money(F.col("allocated_amount") - money("0.75")))
             .otherwise(F.col("allocated_amount")))
 
-    @cached_property
-    def bank_records(self) -> DataFrame:
+    def _build_bank_records(self) -> DataFrame:
         n = id_number("settlement_id")
         day = F.to_date("settlement_date")
         tail = F.length("utr")
@@ -211,8 +227,7 @@ class Fixtures:
         )
         return received.unionByName(other)
 
-    @cached_property
-    def adjustments(self) -> DataFrame:
+    def _build_adjustments(self) -> DataFrame:
         n = id_number("settlement_id")
         kind = (F.when(every(n, 24), "CHARGEBACK").when(every(n, 36), "ROUNDING")
                 .otherwise("MANUAL_ADJUSTMENT"))
@@ -227,24 +242,21 @@ class Fixtures:
             "currency", F.lit("APPLIED").alias("status"),
         )
 
-    @cached_property
-    def invoices(self) -> DataFrame:
+    def _build_invoices(self) -> DataFrame:
         n = id_number("order_id")
         made = derive.derive_invoices(self.orders, self.merchants).filter(~every(n, 43))
         return made.withColumn("total_amount", F.when(
             every(n, 47), money(F.col("total_amount") + money("0.50")))
             .otherwise(F.col("total_amount")))
 
-    @cached_property
-    def gst_records(self) -> DataFrame:
+    def _build_gst_records(self) -> DataFrame:
         n = id_number("invoice_id")
         made = derive.derive_gst(self.invoices).filter(~every(n, 59))
         return made.withColumn("total_tax", F.when(
             every(n, 31), money(F.col("total_tax") + money("0.10")))
             .otherwise(F.col("total_tax")))
 
-    @cached_property
-    def books(self) -> DataFrame:
+    def _build_books(self) -> DataFrame:
         n = id_number("reference_id")
         second = every(id_number("entry_id"), 10, 2)
         made = derive.derive_books(self.orders, self.payments, self.fees, self.refunds,
@@ -255,8 +267,7 @@ class Fixtures:
         return kept.withColumn("canonical_reference_id", canonical_id("reference_id")).withColumn(
             "reference_id", loose)
 
-    @cached_property
-    def raw_bank(self) -> DataFrame:
+    def _build_raw_bank(self) -> DataFrame:
         """Untyped bank feed with mixed spellings, one row per event."""
         n = F.col("event_id")
         digits = F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), F.lit(6)),

@@ -26,7 +26,7 @@ def _time(name: str) -> str:
 select order_id, merchant_id, customer_id, {_time('order_date')}, {_doubles(*_MONEY_ORDER)},
        currency, status, seller_state, buyer_state from t_orders""")
 def order_projection(fx):
-    return fx.orders
+    return fx.build("orders")
 
 
 @query("derived_fees", f"""
@@ -34,7 +34,7 @@ select fee_id, payment_id, merchant_id, fee_type,
        {_doubles('fee_amount', 'tax_amount', 'total_fee')}, currency, payment_method
 from t_fees""")
 def derived_fees(fx):
-    return fx.fees
+    return fx.build("fees")
 
 
 @query("derived_invoices", f"""
@@ -42,7 +42,7 @@ select invoice_id, order_id, merchant_id, customer_id, invoice_number, {_time('i
        {_day('due_date')}, {_doubles(*_MONEY_ORDER)}, currency, seller_gstin, seller_state,
        buyer_state, status from t_invoices""")
 def derived_invoices(fx):
-    return fx.invoices
+    return fx.build("invoices")
 
 
 @query("derived_gst", f"""
@@ -50,7 +50,7 @@ select gst_record_id, invoice_id, invoice_number, merchant_id, seller_gstin, buy
        supply_type, {_doubles(*_MONEY_ORDER[2:])}, filing_period, return_type, status
 from t_gst_records""")
 def derived_gst(fx):
-    return fx.gst_records
+    return fx.build("gst_records")
 
 
 @query("derived_settlements", f"""
@@ -59,19 +59,19 @@ select settlement_id, merchant_id, {_time('settlement_date')},
                  'total_adjustments', 'net_amount')}, currency, utr, status, payment_count
 from t_settlements""")
 def derived_settlements(fx):
-    return fx.settlements
+    return fx.build("settlements")
 
 
 @query("derived_settlement_links", f"""
 select settlement_id, payment_id, {_doubles('allocated_amount')} from t_settlement_payments""")
 def derived_settlement_links(fx):
-    return fx.settlement_payments
+    return fx.build("settlement_payments")
 
 
 @query("payment_batch_numbers", """
 select payment_id, merchant_id, batch, settlement_id from t_batches""")
 def payment_batch_numbers(fx):
-    return fx.batches.select("payment_id", "merchant_id", "batch", "settlement_id")
+    return fx.build("batches").select("payment_id", "merchant_id", "batch", "settlement_id")
 
 
 @query("derived_ledger", f"""
@@ -79,7 +79,7 @@ select entry_id, merchant_id, {_day('entry_date')}, account_code, account_name,
        {_doubles('debit', 'credit')}, reference_type, reference_id, description, entry_type,
        canonical_reference_id from t_books""")
 def derived_ledger(fx):
-    return fx.books
+    return fx.build("books")
 
 
 @query("bank_record_projection", f"""
@@ -87,7 +87,7 @@ select bank_record_id, merchant_id, {_day('transaction_date')}, {_day('value_dat
        {_doubles('amount')}, currency, transaction_type, reference, description, settlement_id,
        category from t_bank_records""")
 def bank_record_projection(fx):
-    return fx.bank_records
+    return fx.build("bank_records")
 
 
 @query("bank_running_balance", """

@@ -324,14 +324,13 @@ def upload_mapping(fx):
 
 @query("upload_rejections", f"""
 select problem, count(*) as row_count from (
-  select unnest(list_filter([
+  select unnest([x for x in [
      case when ({sql_canonical('bank_record_id')}) is null
           then 'MISSING_REQUIRED: bank_record_id' end,
      case when ({sql_canonical('merchant_id')}) is null
           then 'MISSING_REQUIRED: merchant_id' end,
      case when lower(trim(amount)) = 'n/a' then 'MISSING_REQUIRED: amount'
-          when ({sql_amount('amount')}) is null then 'AMOUNT_PARSE_ERROR: amount' end],
-     x -> x is not null)) as problem from t_raw_bank)
+          when ({sql_amount('amount')}) is null then 'AMOUNT_PARSE_ERROR: amount' end] if x is not null]) as problem from t_raw_bank)
 group by problem""")
 def upload_rejections(fx):
     mapped = layouts.map_upload(fx.raw_bank, "bank_record", "feed.csv")
@@ -400,7 +399,7 @@ select *, cast({sql_amount('amount')} as double) as money,
        {sql_narration('description')} as narration
 from t_marked""",
     "t_judged": f"""
-select *, list_filter([
+select *, [x for x in [
     case when money is null and lower(trim(amount)) <> 'n/a'
          then 'AMOUNT_PARSE_ERROR: amount: ' || trim(amount) end,
     case when day is null then 'DATE_PARSE_ERROR: transaction_date: ' || transaction_date end,
@@ -413,33 +412,27 @@ select *, list_filter([
     case when money < 0 then 'NEGATIVE_AMOUNT: amount=' || cast(cast(money as decimal(15,2))
          as varchar) end,
     case when direction not in ('CREDIT', 'DEBIT')
-         then 'INVALID_ENUM: transaction_type=' || direction end], x -> x is not null) as errors
+         then 'INVALID_ENUM: transaction_type=' || direction end] if x is not null] as errors
 from t_normal""",
     "t_outcome": """
 select *, case when torn then 'parse_error' when duplicate is not null then 'duplicate'
-     when len(list_filter(errors, x -> regexp_matches(x,
-          'MISSING_REQUIRED|ARITHMETIC_FAIL|AMOUNT_PARSE_ERROR'))) > 0 then 'invalid'
+     when len([x for x in errors if regexp_matches(x,
+          'MISSING_REQUIRED|ARITHMETIC_FAIL|AMOUNT_PARSE_ERROR')]) > 0 then 'invalid'
      else 'normalized' end as outcome
 from t_judged""",
 }
 
 
-def feed_sql(sql: str) -> str:
-    from ledgerloom.plans.tables_sql import with_tables
-
-    return with_tables(sql, FEED_SQL)
-
-
-@query("feed_duplicates", feed_sql("""
+@query("feed_duplicates", """
 select file, row_number, coalesce(bank_record_id, '') as bank_record_id, duplicate
-from t_marked where duplicate is not null"""))
+from t_marked where duplicate is not null""", FEED_SQL)
 def feed_duplicates(fx):
     rows = _batch(fx).rows.filter(F.col("_duplicate").isNotNull())
     return rows.select("file", "row_number", F.coalesce("bank_record_id", F.lit("")).alias(
         "bank_record_id"), F.col("_duplicate").alias("duplicate"))
 
 
-@query("feed_normalized", feed_sql("""
+@query("feed_normalized", """
 select row_number, bank_record_id, merchant_id, money as amount,
        strftime(day, '%Y-%m-%d') as transaction_date, code as currency,
        direction as transaction_type,
@@ -448,7 +441,7 @@ select row_number, bank_record_id, merchant_id, money as amount,
        'SYNTHETIC_BANK' as lineage_source, bank_record_id as lineage_source_record_id,
        file as lineage_source_file_id, row_number as lineage_source_row,
        'v1.0.0' as lineage_normalizer_ver
-from t_outcome where outcome = 'normalized'"""))
+from t_outcome where outcome = 'normalized'""", FEED_SQL)
 def feed_normalized(fx):
     clean = normalize.flatten_lineage(_batch(fx).clean)
     return clean.select(
@@ -459,27 +452,26 @@ def feed_normalized(fx):
         "lineage_normalizer_ver")
 
 
-@query("feed_quarantine", feed_sql("""
+@query("feed_quarantine", """
 select 'SYNTHETIC_BANK' as source, case when torn then 'ROW_' || row_number else
          coalesce(bank_record_id, 'ROW_' || row_number) end as source_record_id,
        file as source_file_id, row_number as source_row_number, 'bank' as entity_type,
        case when torn then 'PARSE_ERROR' else 'VALIDATION_ERROR' end as error_type,
-       case when torn then 'line is not a valid record' else array_to_string(list_filter(errors,
-         x -> regexp_matches(x, 'MISSING_REQUIRED|ARITHMETIC_FAIL|AMOUNT_PARSE_ERROR')), '; ') end
+       case when torn then 'line is not a valid record' else array_to_string([x for x in errors if regexp_matches(x, 'MISSING_REQUIRED|ARITHMETIC_FAIL|AMOUNT_PARSE_ERROR')], '; ') end
          as error_message,
-       case when torn then null else trim(split_part(list_filter(errors, x -> regexp_matches(x,
-         'MISSING_REQUIRED|ARITHMETIC_FAIL|AMOUNT_PARSE_ERROR'))[1], ':', 2)) end as failed_field
-from t_outcome where outcome in ('invalid', 'parse_error')"""))
+       case when torn then null else trim(split_part([x for x in errors if regexp_matches(x,
+         'MISSING_REQUIRED|ARITHMETIC_FAIL|AMOUNT_PARSE_ERROR')][1], ':', 2)) end as failed_field
+from t_outcome where outcome in ('invalid', 'parse_error')""", FEED_SQL)
 def feed_quarantine(fx):
     return _batch(fx).quarantine.drop("raw_record")
 
 
-@query("feed_counters", feed_sql("""
+@query("feed_counters", """
 select count(*) as total, count(*) filter (outcome = 'normalized') as normalized,
        count(*) filter (outcome in ('invalid', 'parse_error')) as quarantined,
        count(*) filter (outcome = 'duplicate') as duplicates,
        count(*) filter (outcome = 'invalid') as validation_errors
-from t_outcome"""))
+from t_outcome""", FEED_SQL)
 def feed_counters(fx):
     return _batch(fx).counters
 
@@ -495,13 +487,13 @@ def _listed(df: DataFrame, entity: str, key: str, rule=validate.validation_error
 
 @query("order_validation", """
 select * from (
-select order_id as record_id, array_to_string(list_filter([
+select order_id as record_id, array_to_string([x for x in [
    case when customer_id is null then 'MISSING_REQUIRED: customer_id' end,
    case when total < 0 then 'NEGATIVE_AMOUNT: total_amount=' || cast(total as varchar) end,
    case when total <> 0 and taxable_amount <> 0 and tax <> 0
          and abs(total - taxable_amount - tax) > 0.02 then 'ARITHMETIC_FAIL: total_amount' end,
    case when tax <> 0 and abs(tax - cgst - sgst - igst) > 0.02
-        then 'ARITHMETIC_FAIL: total_tax' end], x -> x is not null), '; ') as errors
+        then 'ARITHMETIC_FAIL: total_tax' end] if x is not null], '; ') as errors
 from (select order_id, case when n % 29 <> 0 then customer_id end as customer_id, taxable_amount,
         cgst, sgst, igst, cast(case when n % 19 = 0 then total_tax + 0.50 else total_tax end
           as decimal(15,2)) as tax,

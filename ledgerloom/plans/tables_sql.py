@@ -309,4 +309,5 @@ def with_tables(sql: str, extra: dict[str, str] | None = None) -> str:
     if not needed:
         return sql
     parts = [f"{name} as ({body})" for name, body in known.items() if name in needed]
-    return "with " + ",\n".join(parts) + "\n" + sql
+    own = re.match(r"\s*with\s", sql)
+    return "with " + ",\n".join(parts) + (",\n" + sql[own.end():] if own else "\n" + sql)

@@ -29,6 +29,14 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **extra: s
     return builder.getOrCreate()
 
 
+def has_shared_dir(spark: SparkSession) -> bool:
+    return bool(
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or spark.sparkContext.master.startswith("local")
+    )
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
