@@ -35,11 +35,15 @@ def parse_amount(value: Column | str) -> Column:
     )
 
 
-def amount_error(value: Column | str, field: str) -> Column:
-    """Error text when a value is present but no amount can be read from it."""
+def amount_error(value: Column | str, field: str, parsed: Column | None = None) -> Column:
+    """Error text when a value is present but no amount can be read from it.
+
+    ``parsed`` is the amount already read from the value, when there is one.
+    """
     raw = col(value).cast("string")
+    read = parse_amount(value) if parsed is None else parsed
     return F.when(
-        ~amount_absent(value) & parse_amount(value).isNull(),
+        ~amount_absent(value) & read.isNull(),
         F.concat(F.lit(f"AMOUNT_PARSE_ERROR: {field}: "), strip(raw)),
     )
 

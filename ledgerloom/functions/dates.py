@@ -92,10 +92,11 @@ def date_absent(value: Column | str) -> Column:
     return text.isNull() | F.lower(text).isin(_ABSENT)
 
 
-def instant_error(value: Column | str, field: str) -> Column:
+def instant_error(value: Column | str, field: str, parsed: Column | None = None) -> Column:
     raw = col(value).cast("string")
+    read = parse_instant(value) if parsed is None else parsed
     return F.when(
-        ~date_absent(value) & parse_instant(value).isNull(),
+        ~date_absent(value) & read.isNull(),
         F.concat(F.lit(f"DATE_PARSE_ERROR: {field}: "), strip(raw)),
     )
 

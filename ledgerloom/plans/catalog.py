@@ -54,8 +54,11 @@ def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None
 def load() -> None:
     """Import every module that registers queries."""
     from ledgerloom.plans import (  # noqa: F401
+        queries_audit,
         queries_derive,
         queries_functions,
         queries_ingest,
         queries_matching,
+        queries_reports,
+        queries_retrieval,
     )
