@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-from itertools import chain
 
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column
@@ -26,10 +25,22 @@ def strip(value: Column | str) -> Column:
     return F.btrim(col(value), F.lit(BLANKS))
 
 
+def _sql_literal(value: str | int | bool) -> str:
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lookup(table: dict, key: Column) -> Column:
-    """Value of ``key`` in a fixed table, null when absent."""
-    literals = chain.from_iterable((F.lit(k), F.lit(v)) for k, v in table.items())
-    return F.try_element_at(F.create_map(*literals), key)
+    """Value of ``key`` in a fixed table, null when absent.
+
+    The table is one literal expression, so a plan costs the same to build
+    whatever the number of entries.
+    """
+    entries = ", ".join(f"{_sql_literal(k)}, {_sql_literal(v)}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({entries})"), key)
 
 
 def blank(value: Column | str) -> Column:

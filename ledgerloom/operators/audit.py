@@ -12,7 +12,6 @@ from ledgerloom import vocab
 from ledgerloom.operators.matching import expected_net
 
 ROW = ["num", "name", "status", "failure_count", "severity", "notes"]
-ONE = F.lit(1)
 
 # Columns that must be filled, per table.
 REQUIRED = {
@@ -97,13 +96,13 @@ def row_count_drift(raw: DataFrame, normalized: DataFrame, loaded: DataFrame) ->
 
 def duplicate_values(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNotNull()).groupBy(column).agg(
-        F.count(ONE).alias("copies")).filter(F.col("copies") > 1)
+        F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
 
 
 def unique_violations(tables: dict[str, DataFrame],
                       pairs: list[tuple[str, str]] = UNIQUE) -> DataFrame:
     return _union([
-        _literals(duplicate_values(tables[t], c).agg(F.count(ONE).alias("duplicates")),
+        _literals(duplicate_values(tables[t], c).agg(F.count(F.lit(1)).alias("duplicates")),
                   table_name=t, column_name=c).select("table_name", "column_name", "duplicates")
         for t, c in pairs if t in tables])
 
@@ -119,10 +118,10 @@ def orphan_counts(tables: dict[str, DataFrame], pairs=None, samples: int = 10) -
     out = []
     for child, column, parent in pairs or vocab.FOREIGN_KEYS:
         lost = orphans(tables[child], column, tables[parent], vocab.PRIMARY_KEYS[parent])
-        total = lost.agg(F.count(ONE).alias("orphans"))
+        total = lost.agg(F.count(F.lit(1)).alias("orphans"))
         few = lost.select("orphan_id").distinct().orderBy("orphan_id").limit(samples).agg(
             F.array_join(F.sort_array(F.collect_list("orphan_id")), ",").alias("sample_ids"))
-        both = total.withColumn("_j", ONE).join(few.withColumn("_j", ONE), "_j").drop("_j")
+        both = total.withColumn("_j", F.lit(1)).join(few.withColumn("_j", F.lit(1)), "_j").drop("_j")
         out.append(_literals(both, child_table=child, column_name=column, parent_table=parent))
     return _union(out).select("child_table", "column_name", "parent_table", "orphans",
                               "sample_ids")
@@ -180,12 +179,12 @@ def unbalanced(books: DataFrame, key: str) -> DataFrame:
 
 def children_per_parent(parents: DataFrame, kids: DataFrame, key: str, name: str) -> DataFrame:
     """Average, least and most children of parents that have any; parents with none or several."""
-    sizes = kids.groupBy(key).agg(F.count(ONE).alias("n"))
+    sizes = kids.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     childless = parents.select(key).join(kids.select(key), key, "left_anti").agg(
-        F.count(ONE).alias("without_children"))
+        F.count(F.lit(1)).alias("without_children"))
     shape = sizes.agg(F.avg("n").alias("average"), F.min("n").alias("least"),
                       F.max("n").alias("most"), F.count_if(F.col("n") > 1).alias("with_several"))
-    return shape.withColumn("_j", ONE).join(childless.withColumn("_j", ONE), "_j").drop(
+    return shape.withColumn("_j", F.lit(1)).join(childless.withColumn("_j", F.lit(1)), "_j").drop(
         "_j").withColumn("relation", F.lit(name)).select(
         "relation", "average", "least", "most", "with_several", "without_children")
 
@@ -201,12 +200,12 @@ def cardinalities(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def link_problems(links: DataFrame, settlements: DataFrame, payments: DataFrame) -> DataFrame:
-    pairs = links.groupBy("settlement_id", "payment_id").agg(F.count(ONE).alias("n"))
+    pairs = links.groupBy("settlement_id", "payment_id").agg(F.count(F.lit(1)).alias("n"))
     counts = {
         "orphan_settlement": orphans(links, "settlement_id", settlements, "settlement_id").agg(
-            F.count(ONE).alias("failures")),
+            F.count(F.lit(1)).alias("failures")),
         "orphan_payment": orphans(links, "payment_id", payments, "payment_id").agg(
-            F.count(ONE).alias("failures")),
+            F.count(F.lit(1)).alias("failures")),
         "duplicate_pair": pairs.agg(F.count_if(F.col("n") > 1).alias("failures")),
         "bad_allocation": links.agg(F.count_if(
             F.col("allocated_amount").isNull() | (F.col("allocated_amount") < 0))
@@ -235,7 +234,7 @@ def tax_gaps(invoices: DataFrame, gst: DataFrame) -> DataFrame:
     # The integrated part is reported but does not select rows.
     any_off = reduce(lambda a, b: a | b, [off[p] for p in parts if p != "igst"])
     return both.filter(any_off).agg(
-        F.count(ONE).alias("rows_off"), *[F.count_if(off[p]).alias(f"{p}_off") for p in parts])
+        F.count(F.lit(1)).alias("rows_off"), *[F.count_if(off[p]).alias(f"{p}_off") for p in parts])
 
 
 def payment_order_mismatches(payments: DataFrame, orders: DataFrame) -> DataFrame:
@@ -257,7 +256,7 @@ def over_refunds(refunds: DataFrame, payments: DataFrame) -> DataFrame:
     total = refunds.groupBy("payment_id").agg(F.sum("refund_amount").alias("refunded")).join(
         amounts, "payment_id").agg(
         F.count_if(F.col("refunded") > F.col("amount")).alias("cumulative"))
-    return single.withColumn("_j", ONE).join(total.withColumn("_j", ONE), "_j").drop("_j")
+    return single.withColumn("_j", F.lit(1)).join(total.withColumn("_j", F.lit(1)), "_j").drop("_j")
 
 
 def source_duplicates(tables: dict[str, DataFrame]) -> DataFrame:
@@ -266,7 +265,7 @@ def source_duplicates(tables: dict[str, DataFrame]) -> DataFrame:
     for name, df in tables.items():
         pairs = df.filter(F.col("lineage_source").isNotNull()
                           & F.col("lineage_source_record_id").isNotNull()).groupBy(
-            "lineage_source", "lineage_source_record_id").agg(F.count(ONE).alias("n"))
+            "lineage_source", "lineage_source_record_id").agg(F.count(F.lit(1)).alias("n"))
         out.append(pairs.agg(F.count_if(F.col("n") > 1).alias("duplicates")).withColumn(
             "table_name", F.lit(name)))
     return _union(out).select("table_name", "duplicates")
@@ -287,15 +286,15 @@ def lineage_coverage(tables: dict[str, DataFrame], least: float = 90.0) -> DataF
 def key_fill(tables: dict[str, DataFrame], keys=NATURAL_KEYS) -> DataFrame:
     return _union([
         tables[t].agg(
-            F.count(ONE).alias("row_count"), F.count(c).alias("filled"),
-            F.round(100.0 * F.count(c) / F.count(ONE), 2).alias("percent")).select(
+            F.count(F.lit(1)).alias("row_count"), F.count(c).alias("filled"),
+            F.round(100.0 * F.count(c) / F.count(F.lit(1)), 2).alias("percent")).select(
             F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "row_count", "filled",
             "percent")
         for t, c in keys if t in tables])
 
 
 def by_group(df: DataFrame, *columns: str) -> DataFrame:
-    return df.groupBy(*columns).agg(F.count(ONE).alias("row_count"))
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("row_count"))
 
 
 def truth_gaps(edges: DataFrame, tables: dict[str, DataFrame], kinds: dict[str, str]
@@ -306,7 +305,7 @@ def truth_gaps(edges: DataFrame, tables: dict[str, DataFrame], kinds: dict[str,
         key = vocab.PRIMARY_KEYS[table]
         named = edges.filter(F.col("target_type") == kind).select(F.col("target_id").alias(key))
         missing = named.distinct().join(tables[table].select(key), key, "left_anti")
-        out.append(missing.agg(F.count(ONE).alias("missing")).withColumn(
+        out.append(missing.agg(F.count(F.lit(1)).alias("missing")).withColumn(
             "record_type", F.lit(kind)))
     return _union(out).select("record_type", "missing")
 
@@ -394,7 +393,7 @@ def report(t: dict[str, DataFrame]) -> DataFrame:
         verdict_row(7, "Ledger Double-Sided Entries", totals.select(
             F.col("two_sided").alias("failures")), "FAIL", "HIGH"),
         verdict_row(7, "Ledger Balance per Reference", unbalanced(
-            t["books"], "canonical_reference_id").agg(F.count(ONE).alias("failures")), "WARN",
+            t["books"], "canonical_reference_id").agg(F.count(F.lit(1)).alias("failures")), "WARN",
             "MEDIUM"),
         verdict_row(8, "Cardinality Checks", shape.agg(suspicious.alias("failures")), "WARN",
                     "MEDIUM"),
@@ -419,7 +418,7 @@ def final_verdict(rows: DataFrame) -> DataFrame:
     """Ready only when nothing critical or high has failed."""
     grave = (F.col("status") == "FAIL") & F.col("severity").isin("CRITICAL", "HIGH")
     return rows.agg(
-        F.count(ONE).alias("checks"), F.count_if(F.col("status") == "PASS").alias("passed"),
+        F.count(F.lit(1)).alias("checks"), F.count_if(F.col("status") == "PASS").alias("passed"),
         F.count_if(F.col("status") == "WARN").alias("warned"),
         F.count_if(F.col("status") == "FAIL").alias("failed"),
         F.count_if(grave).alias("blocking")).withColumn(

@@ -13,7 +13,8 @@ from ledgerloom.functions.base import lookup
 from ledgerloom.functions.identifiers import padded
 from ledgerloom.operators.ordering import position, running_sum
 
-ZERO = F.lit("0.00").cast(MONEY)
+def zero() -> Column:
+    return F.lit("0.00").cast(MONEY)
 
 
 def id_number(value: Column | str) -> Column:
@@ -34,7 +35,7 @@ def derive_fees(payments: DataFrame) -> DataFrame:
         same_number("FEE", "payment_id").alias("fee_id"),
         "payment_id", "merchant_id",
         F.lit("PLATFORM_FEE").alias("fee_type"),
-        *[F.when(charged, fee[c]).otherwise(ZERO).alias(c)
+        *[F.when(charged, fee[c]).otherwise(zero()).alias(c)
           for c in ("fee_amount", "tax_amount", "total_fee")],
         F.lit(vocab.DEFAULT_CURRENCY).alias("currency"),
         "payment_method",
@@ -111,9 +112,9 @@ def derive_settlements(batches: DataFrame, fees: DataFrame, refunds: DataFrame,
         .agg(
             F.max("payment_date").alias("last_payment"),
             F.sum("amount").cast(MONEY).alias("gross_amount"),
-            F.coalesce(F.sum("fee.fee_amount"), ZERO).cast(MONEY).alias("total_fees"),
-            F.coalesce(F.sum("fee.tax_amount"), ZERO).cast(MONEY).alias("total_fee_tax"),
-            F.coalesce(F.sum("refunded"), ZERO).cast(MONEY).alias("total_refunds"),
+            F.coalesce(F.sum("fee.fee_amount"), zero()).cast(MONEY).alias("total_fees"),
+            F.coalesce(F.sum("fee.tax_amount"), zero()).cast(MONEY).alias("total_fee_tax"),
+            F.coalesce(F.sum("refunded"), zero()).cast(MONEY).alias("total_refunds"),
             F.count(F.lit(1)).cast("int").alias("payment_count"),
         )
     )
@@ -126,9 +127,9 @@ def derive_settlements(batches: DataFrame, fees: DataFrame, refunds: DataFrame,
         "settlement_id", "merchant_id",
         (F.col("last_payment") + F.make_dt_interval(F.lit(delay_days))).alias("settlement_date"),
         "gross_amount", "total_fees", "total_fee_tax", "total_refunds",
-        ZERO.alias("total_adjustments"),
+        zero().alias("total_adjustments"),
         settlement_net(F.col("gross_amount"), F.col("total_fees"), F.col("total_fee_tax"),
-                       F.col("total_refunds"), ZERO).alias("net_amount"),
+                       F.col("total_refunds"), zero()).alias("net_amount"),
         F.lit(vocab.DEFAULT_CURRENCY).alias("currency"),
         reference.alias("utr"),
         F.lit("SETTLED").alias("status"),
@@ -174,17 +175,17 @@ def derive_books(orders: DataFrame, payments: DataFrame, fees: DataFrame, refund
     sales = _post(
         orders.filter(F.col("status") == "COMPLETED"), "ORDER", "order_id",
         F.to_date("order_date"),
-        _line("ACCOUNTS_RECEIVABLE", "Sale - ", total, ZERO, "SALE"),
-        _line("REVENUE", "Revenue - ", ZERO, taxable, "SALE"),
-        *[_line(f"{part.upper()}_PAYABLE", f"{part.upper()} on ", ZERO, F.col(part), "TAX", True)
+        _line("ACCOUNTS_RECEIVABLE", "Sale - ", total, zero(), "SALE"),
+        _line("REVENUE", "Revenue - ", zero(), taxable, "SALE"),
+        *[_line(f"{part.upper()}_PAYABLE", f"{part.upper()} on ", zero(), F.col(part), "TAX", True)
           for part in ("cgst", "sgst", "igst")],
     )
     amount = F.col("amount")
     receipts = _post(
         payments.filter(F.col("status") == "CAPTURED"), "PAYMENT", "payment_id",
         F.to_date("payment_date"),
-        _line("GATEWAY_RECEIVABLE", "Payment received - ", amount, ZERO, "PAYMENT"),
-        _line("ACCOUNTS_RECEIVABLE", "AR cleared - ", ZERO, amount, "PAYMENT"),
+        _line("GATEWAY_RECEIVABLE", "Payment received - ", amount, zero(), "PAYMENT"),
+        _line("ACCOUNTS_RECEIVABLE", "AR cleared - ", zero(), amount, "PAYMENT"),
     )
     dated_fees = fees.filter(F.col("fee_amount") > 0).join(
         payments.select("payment_id", "payment_date"), "payment_id", "left")
@@ -192,21 +193,21 @@ def derive_books(orders: DataFrame, payments: DataFrame, fees: DataFrame, refund
     charges = _post(
         dated_fees, "FEE", "fee_id",
         F.coalesce(F.to_date("payment_date"), F.lit(undated).cast("date")),
-        _line("PROCESSING_FEE", "Gateway fee - ", charge, ZERO, "FEE"),
-        _line("FEE_GST_INPUT", "Fee GST input - ", tax, ZERO, "FEE", True),
-        _line("GATEWAY_RECEIVABLE", "Fee deducted - ", ZERO, charge + tax, "FEE"),
+        _line("PROCESSING_FEE", "Gateway fee - ", charge, zero(), "FEE"),
+        _line("FEE_GST_INPUT", "Fee GST input - ", tax, zero(), "FEE", True),
+        _line("GATEWAY_RECEIVABLE", "Fee deducted - ", zero(), charge + tax, "FEE"),
     )
     back = F.col("refund_amount")
     returns = _post(
         refunds, "REFUND", "refund_id", F.to_date("refund_date"),
-        _line("REFUND_EXPENSE", "Refund - ", back, ZERO, "REFUND"),
-        _line("GATEWAY_RECEIVABLE", "Refund via gateway - ", ZERO, back, "REFUND"),
+        _line("REFUND_EXPENSE", "Refund - ", back, zero(), "REFUND"),
+        _line("GATEWAY_RECEIVABLE", "Refund via gateway - ", zero(), back, "REFUND"),
     )
     net = F.col("net_amount")
     payouts = _post(
         settlements, "SETTLEMENT", "settlement_id", F.to_date("settlement_date"),
-        _line("BANK_ACCOUNT", "Settlement received - ", net, ZERO, "SETTLEMENT"),
-        _line("GATEWAY_RECEIVABLE", "Gateway settled - ", ZERO, net, "SETTLEMENT"),
+        _line("BANK_ACCOUNT", "Settlement received - ", net, zero(), "SETTLEMENT"),
+        _line("GATEWAY_RECEIVABLE", "Gateway settled - ", zero(), net, "SETTLEMENT"),
     )
     parts = [sales, receipts, charges, returns, payouts]
     if adjustments is not None:
@@ -214,9 +215,9 @@ def derive_books(orders: DataFrame, payments: DataFrame, fees: DataFrame, refund
         parts.append(_post(
             adjustments, "ADJUSTMENT", "adjustment_id", F.to_date("adjustment_date"),
             _line(F.when(up, "GATEWAY_RECEIVABLE").otherwise("ADJUSTMENT_EXPENSE"),
-                  "Adjustment - ", size, ZERO, "ADJUSTMENT"),
+                  "Adjustment - ", size, zero(), "ADJUSTMENT"),
             _line(F.when(up, "ADJUSTMENT_INCOME").otherwise("GATEWAY_RECEIVABLE"),
-                  "Adjustment - ", ZERO, size, "ADJUSTMENT"),
+                  "Adjustment - ", zero(), size, "ADJUSTMENT"),
         ))
     code = {k: v[0] for k, v in vocab.ACCOUNTS.items()}
     title = {k: v[1] for k, v in vocab.ACCOUNTS.items()}

@@ -19,9 +19,9 @@ DECISION = ["pair_type", "status", "rule", "reason", "matched_record_id", "sourc
             "amount_difference", "date_difference", "reason_codes", "explanation_facts",
             "resolved"]
 
-_TEXT = F.lit(None).cast("string")
-_DOUBLE = F.lit(None).cast("double")
-_INT = F.lit(None).cast("int")
+
+def _none(kind: str) -> Column:
+    return F.lit(None).cast(kind)
 
 
 def facts(**items: Column) -> Column:
@@ -44,10 +44,12 @@ def _codes(*names: str) -> Column:
 
 
 def linked_decision(pair: str, rule: str, linked: Column, amount_ok: Column, matched: Column,
-                    source: Column, amount: Column = _DOUBLE, days: Column = _INT,
+                    source: Column, amount: Column | None = None, days: Column | None = None,
                     known: Column | None = None, missing: str | None = None) -> list[Column]:
     """Shared shape of all key-linked rules: linked and equal, linked and unequal, not linked."""
     good = linked & amount_ok
+    amount = _none("double") if amount is None else amount
+    days = _none("int") if days is None else days
     return decision(
         pair,
         F.when(good, vocab.MATCHED).when(linked, vocab.DISCREPANCY).otherwise(vocab.UNMATCHED),
@@ -209,7 +211,7 @@ def event_books(ids: DataFrame, key: str, books: DataFrame) -> DataFrame:
         F.when(found, "REFERENCE_ID_AND_DEBIT_CREDIT").otherwise("NO_LEDGER_ENTRIES"),
         F.when(found, "Ledger entries found; debit/credit compared.")
         .otherwise("No book entries reference this entity."),
-        F.col("_entry"), F.col(key), gap, _INT,
+        F.col("_entry"), F.col(key), gap, _none("int"),
         F.when(~found, _codes("MISSING_RECORD")).when(even, _codes("LEDGER_BALANCED"))
         .otherwise(_codes("LEDGER_IMBALANCE")),
         F.when(found, facts(debit_sum=F.col("_debit").cast("double"),
@@ -237,7 +239,7 @@ def settlement_arithmetic(settlements: DataFrame) -> DataFrame:
         vocab.SETTLEMENT_ARITHMETIC, F.lit(vocab.DISCREPANCY),
         F.lit("NET_EQUALS_GROSS_MINUS_FEES_TAX_REFUNDS_PLUS_ADJ"),
         F.lit("Settlement net amount does not equal the documented identity."),
-        _TEXT, F.col("settlement_id"), gap, _INT, _codes("AMOUNT_DISCREPANCY"),
+        _none("string"), F.col("settlement_id"), gap, _none("int"), _codes("AMOUNT_DISCREPANCY"),
         facts(expected_net=expected.cast("double"), actual_net=F.col("net_amount").cast("double")),
         F.lit(True),
     ))

@@ -7,15 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ONE = F.lit(1)
-
 
 def reconciliation_totals(bank: DataFrame) -> DataFrame:
     """Counts, rate and the unreconciled credit sum in one pass."""
     linked = F.col("settlement_id").isNotNull()
     open_credit = ~linked & (F.col("transaction_type") == "CREDIT")
     return bank.agg(
-        F.count(ONE).alias("total"), F.count_if(linked).alias("reconciled"),
+        F.count(F.lit(1)).alias("total"), F.count_if(linked).alias("reconciled"),
         F.count_if(~linked).alias("unreconciled"),
         F.coalesce(F.sum(F.when(open_credit, F.col("amount"))), F.lit(0))
         .alias("total_discrepancy_amount"),
@@ -29,9 +27,9 @@ def breakdown(df: DataFrame, column: str) -> DataFrame:
     The share is taken from the few grouped rows, not from a window over the table.
     """
     grouped = df.groupBy(F.coalesce(column, F.lit("UNKNOWN")).alias(column)).agg(
-        F.count(ONE).alias("row_count"))
-    whole = grouped.agg(F.sum("row_count").alias("_all")).withColumn("_j", ONE)
-    return grouped.withColumn("_j", ONE).join(whole, "_j").select(
+        F.count(F.lit(1)).alias("row_count"))
+    whole = grouped.agg(F.sum("row_count").alias("_all")).withColumn("_j", F.lit(1))
+    return grouped.withColumn("_j", F.lit(1)).join(whole, "_j").select(
         column, "row_count", (F.col("row_count") / F.col("_all")).alias("share"))
 
 
@@ -40,7 +38,7 @@ def settlement_totals(settlements: DataFrame) -> DataFrame:
         return F.coalesce(F.sum(name), F.lit(0))
 
     return settlements.agg(
-        F.count(ONE).alias("settlements"), total("gross_amount").alias("gross_amount"),
+        F.count(F.lit(1)).alias("settlements"), total("gross_amount").alias("gross_amount"),
         total("net_amount").alias("net_amount"), total("total_fees").alias("total_fees"))
 
 
@@ -73,10 +71,10 @@ def unmatched_listing(bank: DataFrame, payments: DataFrame, links: DataFrame, li
 
 def open_item_summary(bank: DataFrame, payments: DataFrame, links: DataFrame) -> DataFrame:
     b = bank.agg(F.count_if(F.col("settlement_id").isNull()).alias("unmatched_bank_records"),
-                 F.count(ONE).alias("total_bank_records")).withColumn("_j", ONE)
-    p = payments.agg(F.count(ONE).alias("total_payments")).withColumn("_j", ONE)
+                 F.count(F.lit(1)).alias("total_bank_records")).withColumn("_j", F.lit(1))
+    p = payments.agg(F.count(F.lit(1)).alias("total_payments")).withColumn("_j", F.lit(1))
     u = unmatched_payments(payments, links).agg(
-        F.count(ONE).alias("unmatched_payments")).withColumn("_j", ONE)
+        F.count(F.lit(1)).alias("unmatched_payments")).withColumn("_j", F.lit(1))
     return b.join(p, "_j").join(u, "_j").drop("_j")
 
 
@@ -98,7 +96,7 @@ def nested_dossiers(rows: DataFrame, key: str, most: int = 1000) -> DataFrame:
     A record with more than ``most`` parts is not gathered: it keeps its counts
     and is marked, and its parts are read from the long rows.
     """
-    sizes = rows.groupBy(key).agg(F.count(ONE).alias("part_count"))
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("part_count"))
     small = rows.join(sizes.filter(F.col("part_count") <= most).select(key), key, "left_semi")
     lists = small.groupBy(key).agg(F.sort_array(F.collect_list(
         F.struct("part", "part_id", "record"))).alias("parts"))

@@ -58,6 +58,7 @@ def load() -> None:
         queries_derive,
         queries_functions,
         queries_ingest,
+        queries_learning,
         queries_matching,
         queries_reports,
         queries_retrieval,

@@ -409,6 +409,12 @@ REFERENCE_GROUP = ["reference_exact_match", "utr_similarity",
                    "settlement_id_in_description", "description_token_overlap"]
 ENTITY_GROUP = ["merchant_match"]
 CONTEXT_GROUP = ["transaction_type_is_credit", "bank_category", "payment_count"]
+AMBIGUITY_GROUP = [
+    "candidate_count", "candidate_rank_by_amount", "candidate_rank_by_date",
+    "candidate_rank_by_reference", "is_best_amount_candidate", "is_best_date_candidate",
+    "is_best_reference_candidate", "best_vs_second_best_amount_gap",
+    "best_vs_second_best_date_gap", "best_vs_second_best_reference_gap",
+]
 
 # --- documents and questions --------------------------------------------------
 
