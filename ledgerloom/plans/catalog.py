@@ -62,4 +62,5 @@ def load() -> None:
         queries_matching,
         queries_reports,
         queries_retrieval,
+        queries_streaming,
     )

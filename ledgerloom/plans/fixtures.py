@@ -6,6 +6,8 @@ validation rule has rows that pass and rows that fail.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +47,7 @@ class Fixtures:
         if name.startswith("_") or not hasattr(type(self), f"_build_{name}"):
             raise AttributeError(name)
         if name not in self._frames:
-            stored = name in STORED and has_shared_dir(self.spark)
-            self._frames[name] = self._stored(name) if stored else self.build(name)
+            self._frames[name] = self._stored(name) if name in STORED else self.build(name)
         return self._frames[name]
 
     def build(self, name: str) -> DataFrame:
@@ -54,10 +55,16 @@ class Fixtures:
         return getattr(self, f"_build_{name}")()
 
     def _stored(self, name: str) -> DataFrame:
+        return self.stored(name, lambda: self.build(name))
+
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A frame written once per session and folder, where a shared folder is known."""
+        if not has_shared_dir(self.spark):
+            return build()
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _PATHS:
             path = staging_path(self.spark, name)
-            self.build(name).write.parquet(path)
+            build().write.parquet(path)
             _PATHS[key] = path
         return self.spark.read.parquet(_PATHS[key])
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ledgerloom import vocab
 from ledgerloom.operators import augment, cases, derive, evaluate, exceptions, learn, pairs
 from ledgerloom.plans.catalog import query
-from ledgerloom.session import settle
 
 
 def sql_draw(key: str, salt: str) -> str:
@@ -189,9 +188,9 @@ def _training_pairs(fx) -> DataFrame:
 
 
 def _training_rows(fx) -> DataFrame:
-    rows = pairs.grouped_split(pairs.training_rows(_training_pairs(fx)), "bank_record_id")
-    # Several passes read these rows, so they are computed once.
-    return settle(rows)
+    """Several models and passes read these rows, so they are written once."""
+    return fx.stored("training_rows", lambda: pairs.grouped_split(
+        pairs.training_rows(_training_pairs(fx)), "bank_record_id"))
 
 
 @query("training_pair_families")
@@ -568,8 +567,11 @@ def match_model_ablation(fx):
 
 
 def _exception_rows(fx) -> DataFrame:
-    _, log = _changes(fx)
-    return settle(exceptions.training_rows(log, derive.label_changes(log)))
+    def build() -> DataFrame:
+        _, log = _changes(fx)
+        return exceptions.training_rows(log, derive.label_changes(log))
+
+    return fx.stored("exception_rows", build)
 
 
 @query("exception_model_quality")
