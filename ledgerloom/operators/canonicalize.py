@@ -23,15 +23,19 @@ class Split:
     quarantine: DataFrame
 
 
+def _read(name: str) -> Column:
+    """Working column with the canonical form of an id, so it is read once per row."""
+    return F.col(f"_read_{name}")
+
+
 def _reason(primary: str, foreign: list[str]) -> tuple[Column, Column]:
     """First thing wrong with the ids of a row, and the field it concerns."""
     missing = blank(primary)
     reason = F.when(missing, F.lit(f"Missing PK field '{primary}'")).when(
-        canonical_id(primary).isNull(),
-        F.concat(F.lit("Cannot canonicalize PK: "), F.col(primary)))
-    field = F.when(missing | canonical_id(primary).isNull(), F.lit(primary))
+        _read(primary).isNull(), F.concat(F.lit("Cannot canonicalize PK: "), F.col(primary)))
+    field = F.when(_read(primary).isNull(), F.lit(primary))
     for name in foreign:
-        bad = ~blank(name) & canonical_id(name).isNull()
+        bad = ~blank(name) & _read(name).isNull()
         reason = reason.when(bad, F.concat(F.lit(f"Cannot canonicalize FK '{name}': "),
                                            F.col(name)))
         field = field.when(bad, F.lit(name))
@@ -52,18 +56,20 @@ def canonicalize(df: DataFrame, entity: str, primary: str, foreign: list[str], s
                  row: str, file: str, ingested_at: Column | None = None) -> Split:
     """Canonical ids, or quarantine with the first bad id. Other fields keep their noise."""
     reason, field = _reason(primary, foreign)
-    prepared = df.withColumns({
+    ids = [primary, *foreign]
+    read = df.withColumns({f"_read_{n}": canonical_id(n) for n in ids})
+    prepared = read.withColumns({
         "_raw": F.to_json(F.struct(*df.columns)), "_source": F.lit(source),
         "_row": F.col(row), "_reason": reason, "_field": field,
         "_original": F.col(primary),
     })
     fixed = prepared.filter(F.col("_reason").isNull()).withColumns({
-        primary: canonical_id(primary),
-        **{f: F.coalesce(canonical_id(f), F.col(f)) for f in foreign},
+        primary: _read(primary),
+        **{f: F.coalesce(_read(f), F.col(f)) for f in foreign},
     }).withColumn("_lineage", lineage(source, F.col("_original"), F.lit(file), F.col("_row"),
                                       ingested_at, vocab.CANONICALIZER_VERSION))
     bad = prepared.filter(F.col("_reason").isNotNull())
-    return Split(fixed.drop("_reason", "_field", "_original"),
+    return Split(fixed.drop("_reason", "_field", "_original", *[f"_read_{n}" for n in ids]),
                  _quarantined(bad, entity, F.col("_reason"), F.col("_field")))
 
 
@@ -117,16 +123,17 @@ def check_links(links: DataFrame, settlements: DataFrame, payments: DataFrame, s
     reason = F.when(missing, F.lit("Missing settlement_id or payment_id"))
     field = F.when(blank(ids[0]), F.lit(ids[0])).when(blank(ids[1]), F.lit(ids[1]))
     for name in ids:
-        bad = canonical_id(name).isNull()
+        bad = _read(name).isNull()
         reason = reason.when(bad, F.concat(F.lit(f"Cannot canonicalize FK '{name}': "),
                                            F.col(name)))
         field = field.when(bad, F.lit(name))
-    prepared = links.withColumns({
+    work = [f"_read_{n}" for n in ids]
+    prepared = links.withColumns({f"_read_{n}": canonical_id(n) for n in ids}).withColumns({
         "_raw": F.to_json(F.struct(*links.columns)), "_source": F.lit(source),
         "_row": F.col(row), "_reason": reason, "_field": field,
     })
     readable = prepared.filter(F.col("_reason").isNull()).withColumns(
-        {n: canonical_id(n) for n in ids}).drop("_reason", "_field")
+        {n: _read(n) for n in ids}).drop("_reason", "_field", *work)
     unread = _quarantined(prepared.filter(F.col("_reason").isNotNull()), "settlement_payment",
                           F.col("_reason"), F.col("_field"))
     checked = require_parents(Split(readable, unread), "settlement_payment", [

@@ -31,10 +31,16 @@ def money(value: Column | str) -> Column:
 # Derived tables that many queries read are written once per session and folder, as they
 # would be stored in practice; short projections stay lazy.
 STORED = ["orders", "payments", "fees", "refunds", "batches", "settlements",
-          "settlement_payments", "bank_records", "invoices", "gst_records", "books"]
+          "settlement_payments", "bank_records", "invoices", "gst_records", "books", "raw_bank"]
 _PATHS: dict[tuple[str, str, str], str] = {}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores when a small input left fewer partitions than there are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Fixtures:
     """Business tables over one folder of driver tables."""
 
@@ -64,7 +70,7 @@ class Fixtures:
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _PATHS:
             path = staging_path(self.spark, name)
-            build().write.parquet(path)
+            spread(build()).write.parquet(path)
             _PATHS[key] = path
         return self.spark.read.parquet(_PATHS[key])
 

@@ -344,10 +344,12 @@ select distinct m as merchant_id, 'Merchant ' || m as merchant_name, 'GENERAL' a
        '27AABC' || right(replace(m, '_', ''), 7) || 'Z1' as gstin, 'INR' as currency,
        'ACTIVE' as status
 from (select {sql_canonical('merchant_id')} as m from t_raw_bank)
-where m is not null and m not in (select merchant_id from t_merchants)""")
+where m is not null and m not in (select merchant_id from t_merchants
+  where cast(regexp_extract(merchant_id, '([0-9]+)$', 1) as bigint) % 3 <> 0)""")
 def merchant_stub_rows(fx):
     feed = fx.raw_bank.select(canonical_id("merchant_id").alias("merchant_id"))
-    return layouts.merchant_stubs(feed, fx.merchants)
+    known = fx.merchants.filter(~every(id_number("merchant_id"), 3))
+    return layouts.merchant_stubs(feed, known)
 
 
 # --- normalisation of a batch -------------------------------------------------------
