@@ -129,7 +129,7 @@ def orphan_counts(tables: dict[str, DataFrame], pairs=None, samples: int = 10) -
         total = lost.agg(F.count(F.lit(1)).alias("orphans"))
         few = lost.select("orphan_id").distinct().orderBy("orphan_id").limit(samples).agg(
             F.array_join(F.sort_array(F.collect_list("orphan_id")), ",").alias("sample_ids"))
-        both = total.withColumn("_j", F.lit(1)).join(few.withColumn("_j", F.lit(1)), "_j").drop("_j")
+        both = total.withColumn("sample_ids", few.scalar())
         out.append(_literals(both, child_table=child, column_name=column, parent_table=parent))
     return _union(out).select("child_table", "column_name", "parent_table", "orphans",
                               "sample_ids")
@@ -192,8 +192,8 @@ def children_per_parent(parents: DataFrame, kids: DataFrame, key: str, name: str
         F.count(F.lit(1)).alias("without_children"))
     shape = sizes.agg(F.avg("n").alias("average"), F.min("n").alias("least"),
                       F.max("n").alias("most"), F.count_if(F.col("n") > 1).alias("with_several"))
-    return shape.withColumn("_j", F.lit(1)).join(childless.withColumn("_j", F.lit(1)), "_j").drop(
-        "_j").withColumn("relation", F.lit(name)).select(
+    return shape.withColumns({"without_children": childless.scalar(),
+                              "relation": F.lit(name)}).select(
         "relation", "average", "least", "most", "with_several", "without_children")
 
 
@@ -264,7 +264,7 @@ def over_refunds(refunds: DataFrame, payments: DataFrame) -> DataFrame:
     total = refunds.groupBy("payment_id").agg(F.sum("refund_amount").alias("refunded")).join(
         amounts, "payment_id").agg(
         F.count_if(F.col("refunded") > F.col("amount")).alias("cumulative"))
-    return single.withColumn("_j", F.lit(1)).join(total.withColumn("_j", F.lit(1)), "_j").drop("_j")
+    return single.withColumn("cumulative", total.scalar())
 
 
 def source_duplicates(tables: dict[str, DataFrame]) -> DataFrame:

@@ -94,9 +94,11 @@ def binary_metrics(scored: DataFrame, threshold: float) -> DataFrame:
         F.count_if(hit & pos).alias("a"), F.count_if(hit & ~pos).alias("b"),
         F.count_if(~hit & pos).alias("c"), F.count_if(~hit & ~pos).alias("d"))
     rates = _rates(F.col("a"), F.col("b"), F.col("c"), F.col("d"))
-    flat = counts.select(*[v.alias(k) for k, v in rates.items()], F.lit(1).alias("_j"))
-    return flat.join(ranking_quality(scored).withColumn("_j", F.lit(1)), "_j").drop(
-        "_j").withColumn("threshold", F.lit(threshold))
+    ranked = ranking_quality(scored).select(F.struct("pr_auc", "roc_auc")).scalar()
+    flat = counts.select(*[v.alias(k) for k, v in rates.items()], ranked.alias("_r"))
+    return flat.withColumns({
+        "pr_auc": F.col("_r.pr_auc"), "roc_auc": F.col("_r.roc_auc"),
+        "threshold": F.lit(threshold)}).drop("_r")
 
 
 def compare_models(metrics: dict[str, DataFrame], order: list[str]) -> DataFrame:

@@ -28,9 +28,8 @@ def breakdown(df: DataFrame, column: str) -> DataFrame:
     """
     grouped = df.groupBy(F.coalesce(column, F.lit("UNKNOWN")).alias(column)).agg(
         F.count(F.lit(1)).alias("row_count"))
-    whole = grouped.agg(F.sum("row_count").alias("_all")).withColumn("_j", F.lit(1))
-    return grouped.withColumn("_j", F.lit(1)).join(whole, "_j").select(
-        column, "row_count", (F.col("row_count") / F.col("_all")).alias("share"))
+    whole = grouped.agg(F.sum("row_count")).scalar()
+    return grouped.select(column, "row_count", (F.col("row_count") / whole).alias("share"))
 
 
 def settlement_totals(settlements: DataFrame) -> DataFrame:
@@ -70,12 +69,12 @@ def unmatched_listing(bank: DataFrame, payments: DataFrame, links: DataFrame, li
 
 
 def open_item_summary(bank: DataFrame, payments: DataFrame, links: DataFrame) -> DataFrame:
-    b = bank.agg(F.count_if(F.col("settlement_id").isNull()).alias("unmatched_bank_records"),
-                 F.count(F.lit(1)).alias("total_bank_records")).withColumn("_j", F.lit(1))
-    p = payments.agg(F.count(F.lit(1)).alias("total_payments")).withColumn("_j", F.lit(1))
-    u = unmatched_payments(payments, links).agg(
-        F.count(F.lit(1)).alias("unmatched_payments")).withColumn("_j", F.lit(1))
-    return b.join(p, "_j").join(u, "_j").drop("_j")
+    waiting = unmatched_payments(payments, links)
+    return bank.agg(
+        F.count_if(F.col("settlement_id").isNull()).alias("unmatched_bank_records"),
+        F.count(F.lit(1)).alias("total_bank_records")).withColumns({
+            "unmatched_payments": waiting.agg(F.count(F.lit(1))).scalar(),
+            "total_payments": payments.agg(F.count(F.lit(1))).scalar()})
 
 
 def dossier_rows(parts: dict[str, tuple[DataFrame, str]], key: str) -> DataFrame:

@@ -45,6 +45,8 @@ class Fixtures:
     """Business tables over one folder of driver tables."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        # Timestamps of the driver tables are UTC wall times.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.folder = folder
         self._frames: dict[str, DataFrame] = {}
