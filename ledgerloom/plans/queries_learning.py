@@ -292,6 +292,11 @@ select l.doc_id, l.quality as label,
 from labels l join documents d on d.doc_id = l.doc_id"""
 
 
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    """Sums of doubles depend on row order in the last digit, so they are compared rounded."""
+    return df.withColumns({n: F.round(n, 9) for n in names})
+
+
 def scored(fx) -> DataFrame:
     noise = (F.col("n_chars") * 37 % 1000) / 1000.0
     return fx.raw("labels").join(fx.raw("documents"), "doc_id").select(
@@ -340,14 +345,16 @@ def best_threshold(fx):
 
 
 @query("binary_metrics", f"""
-select {_rates_sql('a', 'b', 'c', 'd')}, pr_auc, roc_auc, 0.275::double as threshold
+select {_rates_sql('a', 'b', 'c', 'd')}, round(pr_auc, 9) as pr_auc,
+       round(roc_auc, 9) as roc_auc, 0.275::double as threshold
 from (select count(*) filter (score >= 0.275 and label = 1) as a,
              count(*) filter (score >= 0.275 and label = 0) as b,
              count(*) filter (score < 0.275 and label = 1) as c,
              count(*) filter (score < 0.275 and label = 0) as d from ({SCORED_SQL})),
      ({QUALITY_SQL})""")
 def binary_metrics(fx):
-    return evaluate.binary_metrics(scored(fx), vocab.MATCH_THRESHOLD)
+    return _rounded(evaluate.binary_metrics(scored(fx), vocab.MATCH_THRESHOLD), "pr_auc",
+                    "roc_auc")
 
 
 @query("prediction_rows", f"""
@@ -401,12 +408,14 @@ def class_report(fx):
 
 
 @query("multiclass_metrics", f"""
-select sum(support - errors) / cast(sum(support) as double) as accuracy,
-       avg(case when support > 0 then recall end) as balanced_accuracy,
-       avg(precision) as macro_precision, avg(recall) as macro_recall, avg(f1) as macro_f1,
-       sum(f1 * support) / sum(support) as weighted_f1 from ({REPORT_SQL})""")
+select round(sum(support - errors) / cast(sum(support) as double), 9) as accuracy,
+       round(avg(case when support > 0 then recall end), 9) as balanced_accuracy,
+       round(avg(precision), 9) as macro_precision, round(avg(recall), 9) as macro_recall,
+       round(avg(f1), 9) as macro_f1,
+       round(sum(f1 * support) / sum(support), 9) as weighted_f1 from ({REPORT_SQL})""")
 def multiclass_metrics(fx):
-    return evaluate.multiclass_metrics(classed(fx))
+    found = evaluate.multiclass_metrics(classed(fx))
+    return _rounded(found, *found.columns)
 
 
 def _probabilities(fx) -> DataFrame:
@@ -445,17 +454,17 @@ from (select *, cast(sum(pos) over (order by score desc) as double) as up
 
 
 @query("one_vs_rest_auc", "\nunion all\n".join(
-    f"select '{c}' as class, (" + _auc_sql(
+    f"select '{c}' as class, round((" + _auc_sql(
         f"select p{c} as score, cast(actual = '{c}' as integer) as label from ({PROBS_SQL})")
-    + ") as roc_auc" for c in "xyz"))
+    + "), 9) as roc_auc" for c in "xyz"))
 def one_vs_rest_auc(fx):
-    return evaluate.one_vs_rest_auc(_probabilities(fx), "p")
+    return _rounded(evaluate.one_vs_rest_auc(_probabilities(fx), "p"), "roc_auc")
 
 
 @query("feature_ranking", "\nunion all\n".join(
     f"select l_returnflag as split, '{c}' as feature, count(distinct {c}) as nunique, "
     f"avg(case when {c} <> 0 then (l_linestatus = 'O')::integer end) as positive_rate_when_set, "
-    f"(select sum(neg * (up - pos / 2.0::double)) / (sum(pos) * sum(neg)) from (select *, "
+    f"(select round(sum(neg * (up - pos / 2.0::double)) / (sum(pos) * sum(neg)), 9) from (select *, "
     f"cast(sum(pos) over (order by s desc) as double) as up from (select {c} as s, "
     f"cast(count(*) filter (l_linestatus = 'O') as double) as pos, "
     f"cast(count(*) filter (l_linestatus <> 'O') as double) as neg from lineitem i "
@@ -463,8 +472,8 @@ def one_vs_rest_auc(fx):
     for c in ("l_discount", "l_tax")))
 def feature_ranking(fx):
     rows = fx.raw("lineitem").withColumn("label", (F.col("l_linestatus") == "O").cast("int"))
-    return evaluate.feature_ranking(rows, ["l_discount", "l_tax"], split="l_returnflag") \
-        .withColumnRenamed("l_returnflag", "split")
+    found = evaluate.feature_ranking(rows, ["l_discount", "l_tax"], split="l_returnflag")
+    return _rounded(found, "roc_auc").withColumnRenamed("l_returnflag", "split")
 
 
 @query("single_flag_diagnostic", """

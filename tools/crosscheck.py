@@ -1,6 +1,8 @@
 """Run registered queries against their SQL on the same tables and compare values.
 
 usage: python tools/crosscheck.py [folder] [name-part ...]
+
+EXACT=1 compares floating point values to the last digit instead of six digits.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ def cell(value):
         return "∅"
     if isinstance(value, bool):
         return str(value)
+    if isinstance(value, float) and os.environ.get("EXACT"):
+        return repr(value)
     if isinstance(value, float):
         return f"{value:.6g}" if abs(value) >= 1e-9 else "0"
     if isinstance(value, int):
