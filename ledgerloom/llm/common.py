@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.session import staging_path
 
@@ -27,6 +28,12 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, already stored, marked for broadcast if it is counted to be short; a
+    longer one joins by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def fresh(name: str, taken) -> str:
     """A column name that no column of ``taken`` has, in any case of letters."""
     lower = {c.lower() for c in taken}

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import settled
+from ledgerloom.llm.common import settled, shipped
 
 
 def content_hash(text: Column) -> Column:
@@ -37,22 +37,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     several = settled(
         rows.groupBy("_hash").agg(F.count("*").alias("_n"), best("_id").alias("_keep"))
         .where("_n > 1").select("_hash", "_keep"), "dedup-groups")
+    # While the list of hashes is short, texts of single rows are never shuffled.
+    several = shipped(several)
+    members = rows.join(several, "_hash")
     # One text for each group: that of the row that stays, whichever copy of it.
     models = settled(
-        rows.join(several, "_hash").where(F.col("_id").eqNullSafe(F.col("_keep")))
+        members.where(F.col("_id").eqNullSafe(F.col("_keep")))
         .groupBy("_hash").agg(F.min("_text").alias("_model")), "dedup-models")
-    marked = rows.join(models, "_hash", "left").select(
-        "_id", "_hash",
-        F.when(F.col("_model").isNull() | (F.col("_model") == F.col("_text")), F.lit(""))
-        .otherwise(F.concat(F.lit("="), F.col("_text"))).alias("_other"),
-        F.sha2(F.col("_text"), 256).alias("text_sha256"))
-    marked = settled(marked, "dedup-marked")
+    sha = F.sha2(F.col("_text"), 256).alias("text_sha256")
+    marked = settled(members.join(models, "_hash").select(
+        "_id", "_hash", F.when(F.col("_model") == F.col("_text"), F.lit(""))
+        .otherwise(F.concat(F.lit("="), F.col("_text"))).alias("_other"), sha), "dedup-marked")
     groups = settled(
         marked.groupBy("_hash", "_other")
         .agg(F.count("*").alias("group_size"), best("_id").alias("keep_id")), "dedup-sizes")
-    return marked.join(groups, ["_hash", "_other"]).select(
+    copies = marked.join(groups, ["_hash", "_other"]).select(
         F.col("_id").alias(id_col), "keep_id", "group_size",
         F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    singles = rows.join(several, "_hash", "left_anti").select(
+        F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
+        F.lit(True).alias("kept"), sha)
+    return copies.unionByName(singles)
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
