@@ -59,51 +59,52 @@ class Bpe:
             return [whole]
         low, middle, size, pair = self.low, self.middle, self.size, self.pairs.get
         top, buckets = 0, {}
-        ids = [self.single[b] for b in piece]
+        ids = list(map(self.single.__getitem__, piece))
         n = len(ids)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        entries = [(rank, i) for i in range(n - 1)
-                   if (rank := pair(ids[i] * size + ids[i + 1])) is not None]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        keys = [a * size + b for a, b in zip(ids, ids[1:])]
+        fresh = [(i, rank) for i, rank in enumerate(map(pair, keys)) if rank is not None]
         while True:
-            for rank, i in entries:
-                bucket = buckets.get(rank)
-                if bucket:
-                    heappush(bucket, i)
-                    continue
-                buckets[rank] = [i]
-                low[rank >> 6] |= 1 << (rank & 63)
-                middle[rank >> 12] |= 1 << (rank >> 6 & 63)
-                top |= 1 << (rank >> 12)
-            if not top:
-                return [x for x in ids if x >= 0]
+            for i, rank in fresh:
+                if rank in buckets:
+                    heappush(buckets[rank], i)
+                    if len(buckets[rank]) > 1:
+                        continue
+                else:
+                    buckets[rank] = [i]
+                word = rank >> 6
+                low[word] |= 1 << (rank & 63)
+                middle[word >> 6] |= 1 << (word & 63)
+                top |= 1 << (word >> 6)
             # Find first set, level by level; the leftmost entry of that rank is next.
-            a = (top & -top).bit_length() - 1
-            word = middle[a]
-            b = a << 6 | (word & -word).bit_length() - 1
-            word = low[b]
-            rank = b << 6 | (word & -word).bit_length() - 1
-            bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
-                low[b] = word = word & (word - 1)
-                if not word:
-                    middle[a] = word = middle[a] & (middle[a] - 1)
-                    if not word:
-                        top &= top - 1
-            entries = []
-            j = after[i]
-            if ids[i] < 0 or j >= n or pair(ids[i] * size + ids[j]) != rank:
-                continue  # stale: one of the two has been merged since
+            while top:
+                a = (top & -top).bit_length() - 1
+                bits = middle[a]
+                b = a << 6 | (bits & -bits).bit_length() - 1
+                bits = low[b]
+                rank = b << 6 | (bits & -bits).bit_length() - 1
+                bucket = buckets[rank]
+                i = heappop(bucket)
+                if not bucket:
+                    low[b] = bits = bits & (bits - 1)
+                    if not bits:
+                        middle[a] = bits = middle[a] & (middle[a] - 1)
+                        if not bits:
+                            top &= top - 1
+                # Stale if one of the two has been merged since.
+                if (j := after[i]) < n and ids[i] >= 0 and pair(ids[i] * size + ids[j]) == rank:
+                    break
+            else:
+                return [x for x in ids if x >= 0]
             ids[i], ids[j] = rank, -1
             k = after[i] = after[j]
+            fresh = []
             if k < n:
                 before[k] = i
                 if (r := pair(rank * size + ids[k])) is not None:
-                    entries.append((r, i))
-            h = before[i]
-            if h >= 0 and (r := pair(ids[h] * size + rank)) is not None:
-                entries.append((r, h))
+                    fresh.append((i, r))
+            if (h := before[i]) >= 0 and (r := pair(ids[h] * size + rank)) is not None:
+                fresh.append((h, r))
 
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.find(text) for i in self.encode_piece(piece.encode())]

@@ -51,3 +51,27 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
     return bpe_round_trip(read(spark, folder, "documents"),
                           vocabulary_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerloom.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(read(spark, folder, "documents"))
+
+
+# Words as the contract has them; windows by their whole word sequence.
+ORACLES["op10_substring_dedup"] = r"""
+with d as (select doc_id, row_number() over () as r,
+                  list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+           from documents),
+s as (select r, unnest(generate_series(1, len(w) - 34)) as i from d where len(w) >= 35),
+h as (select s.r, s.i, md5(array_to_string(w[s.i:s.i + 34], ' ')) as h from s join d using (r)),
+dup as (select r, i from h where h in (select h from h group by h having count(*) > 1)),
+gone as (select distinct r, unnest(generate_series(i, i + 34)) as p from dup),
+words as (select r, unnest(w) as word, unnest(generate_series(1, len(w))) as p from d),
+kept as (select r, string_agg(word, ' ' order by p) as t, count(*) as n from words anti join gone using (r, p) group by r)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed,
+       sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (r)
+"""
