@@ -75,3 +75,10 @@ select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n
        sha256(coalesce(t, '')) as kept_sha256
 from d left join kept using (r)
 """
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerloom.llm.quality import quality
+
+    return quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
