@@ -82,3 +82,10 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerloom.llm.quality import quality
 
     return quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerloom.llm.toxicity import toxicity
+
+    return toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
