@@ -89,3 +89,10 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerloom.llm.toxicity import toxicity
 
     return toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerloom.llm.pii import find_pii
+
+    return find_pii(read(spark, folder, "documents"))
