@@ -96,3 +96,10 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerloom.llm.pii import find_pii
 
     return find_pii(read(spark, folder, "documents"))
+
+
+@query
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerloom.llm.ngram_join import ngram_components
+
+    return ngram_components(read(spark, folder, "documents"))
