@@ -103,3 +103,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerloom.llm.ngram_join import ngram_components
 
     return ngram_components(read(spark, folder, "documents"))
+
+
+@query
+def op3_approximate_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerloom.llm.neighbours import neighbours
+
+    return neighbours(read(spark, folder, "embeddings"), F.col("id") % 20 == 0)
