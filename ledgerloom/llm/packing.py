@@ -30,7 +30,7 @@ from ledgerloom.llm.common import settled
 
 # Search steps after the first descent. More steps may save a few sequences.
 STEPS = 4000
-RANK_ROWS = 100_000
+RANK_ROWS = 10_000
 
 
 # ---------------------------------------------------------------- the search
