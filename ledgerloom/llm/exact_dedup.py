@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import settled, shipped
+from ledgerloom.llm.common import fresh, settled, shipped
 
 
 def content_hash(text: Column) -> Column:
@@ -62,14 +62,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows that repeat an
-    id with the same text stay once. Needs ids; rows without one stay only where
-    their text has no row with an id."""
-    groups = exact_dedup(docs, id_col, text_col, keep).where("kept").select(
-        F.col(f"`{id_col}`").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
+    """The rows of ``docs`` that stay, with all their columns: one of each group of
+    equal texts, the one whose id ``keep`` names. Of rows that repeat an id with the
+    same text, and of rows without id where no member has one, any one stays."""
+    found = settled(exact_dedup(docs, id_col, text_col, keep).where("group_size > 1"), "dedup-found")
+    own_id, own_sha = fresh("_own_id", docs.columns), fresh("_own_sha", docs.columns)
     sha = F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)
-    kept = groups.dropDuplicates()
-    joined = docs.withColumn("_own_sha", sha).join(
-        kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_keep_id"))
-        & (F.col("_own_sha") == F.col("_keep_sha")))
-    return joined.dropDuplicates(["_keep_id", "_keep_sha"]).drop("_own_sha", "_keep_id", "_keep_sha")
+    marked = docs.withColumn(own_sha, sha)
+
+    def listed(rows: DataFrame) -> DataFrame:
+        return shipped(settled(rows.select(F.col(f"`{id_col}`").alias(own_id), F.col("text_sha256").alias("_sha"))
+                               .distinct(), "dedup-list"))
+
+    def same(rows: DataFrame):
+        return marked[f"`{id_col}`"].eqNullSafe(rows[own_id]) & (marked[own_sha] == rows["_sha"])
+
+    every, stay = listed(found), listed(found.where("kept"))
+    singles = marked.join(every, same(every), "left_anti")
+    kept = marked.join(stay, same(stay), "left_semi").dropDuplicates([id_col, own_sha])
+    return singles.unionByName(kept).drop(own_sha)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.chunks import blocks
-from ledgerloom.llm.common import settled, shipped
+from ledgerloom.llm.common import fresh, settled, shipped
 from ledgerloom.llm.components import components
 from ledgerloom.llm.wordhash import Words, mix
 
@@ -47,7 +47,6 @@ BITS = [f"bits{i}" for i in range(BITMAP_WORDS)]
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and distinct shingle hashes, sorted by both."""
     words = Words(texts, lower=True)
-    long = words.counts >= width
     place = np.arange(len(words.start)) - np.repeat(words.first[:-1], words.counts)
     left = np.repeat(words.counts, words.counts) - place
     rows = np.repeat(np.arange(len(texts)), words.counts)
@@ -63,7 +62,6 @@ def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     row, token = row[order], token[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
-    del long
     return row[new], token[new]
 
 
@@ -128,15 +126,15 @@ def profiles(rows: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.append(p_starts, len(p_token)), pa.int32()), pa.array(p_token.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(at, n_rows), pa.array(cls.view(np.int64)), pa.array(check.view(np.int64)),
+                    [batch.column("id").slice(at, n_rows), batch.column("text_md5").slice(at, n_rows), pa.array(cls.view(np.int64)), pa.array(check.view(np.int64)),
                      pa.array(sizes.astype(np.int64)), pa.array(group.view(np.int64))]
                     + [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(BITMAP_WORDS)] + [lists], schema.names)
 
     schema = T.StructType(
-        [T.StructField("id", rows.schema["id"].dataType)]
+        [T.StructField("id", rows.schema["id"].dataType), T.StructField("text_md5", T.StringType())]
         + [T.StructField(n, T.LongType()) for n in ("class", "check", "size", "group", *BITS)]
         + [T.StructField("prefix", T.ArrayType(T.LongType()))])
-    return rows.mapInArrow(run, schema)
+    return rows.withColumn("text_md5", F.md5("text")).mapInArrow(run, schema)
 
 
 def buckets(found: DataFrame) -> DataFrame:
@@ -257,8 +255,9 @@ def class_labels(found: DataFrame, rows: DataFrame, width: int, percent: int, se
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
-                     percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """Per row: id, ``n_shingles``, ``component_id`` (smallest id reachable by links)."""
+                     percent: int = PERCENT, rounds: int = ROUNDS, with_key: bool = False) -> DataFrame:
+    """Per row: id, ``n_shingles``, ``component_id`` (smallest id reachable by links);
+    ``with_key`` adds ``text_md5``."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"),
                        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     seed = 0
@@ -270,13 +269,27 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             break
         seed += 1
     labels = class_labels(found, rows, width, percent, seed, rounds)
-    part = found.select("id", "size", "class")
+    part = found.select("id", "size", "class", "text_md5")
     if labels is not None:
         part = part.join(labels, part["class"] == labels["node"], "left").withColumn(
-            "class", F.coalesce("label", "class")).select("id", "size", "class")
+            "class", F.coalesce("label", "class")).select("id", "size", "class", "text_md5")
     part = settled(part, "members")
     named = settled(part.where("size > 0").groupBy("class").agg(F.min("id").alias("least")), "component-names")
-    linked = part.where("size > 0").join(named, "class").select("id", "size", "least")
-    blank = part.where("size = 0").select("id", "size", F.col("id").alias("least"))
+    linked = part.where("size > 0").join(named, "class").select("id", "size", "least", "text_md5")
+    blank = part.where("size = 0").select("id", "size", F.col("id").alias("least"), "text_md5")
     return linked.unionByName(blank).select(
-        F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.col("least").alias("component_id"))
+        F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.col("least").alias("component_id"),
+        *(["text_md5"] if with_key else []))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the
+    row with the smallest id. Rows without id stay where no member has one."""
+    found = settled(ngram_components(docs, id_col, text_col, with_key=True), "components")
+    own_id, own_key = fresh("_own_id", docs.columns), fresh("_own_key", docs.columns)
+    goes = shipped(settled(
+        found.where(~F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")))
+        .select(F.col(f"`{id_col}`").alias(own_id), "text_md5").distinct(), "near-copies"))
+    marked = docs.withColumn(own_key, F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    same = marked[f"`{id_col}`"].eqNullSafe(goes[own_id]) & (marked[own_key] == goes["text_md5"])
+    return marked.join(goes, same, "left_anti").drop(own_key)
