@@ -110,3 +110,10 @@ def op3_approximate_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerloom.llm.neighbours import neighbours
 
     return neighbours(read(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerloom.llm.license_scan import license_scan
+
+    return license_scan(read(spark, folder, "documents"))
