@@ -16,6 +16,7 @@ from collections.abc import Callable
 _UNEVEN = re.compile(r"(?:^|\s) | (?:\s|$)")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 LONGEST_KEPT = 64
+TAILS = ".,"
 MOST_KEPT = 1_000_000
 
 
@@ -32,7 +33,7 @@ class ChunkCoder:
     """``encode_many`` turns unseen chunks into bytes of little-endian ids."""
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], most: int = MOST_KEPT):
-        self.encode_many, self.most, self.kept = encode_many, most, {}
+        self.encode_many, self.most, self.kept, self.tails = encode_many, most, {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [split(t) for t in texts]
@@ -42,13 +43,24 @@ class ChunkCoder:
         found = [list(map(kept.get, one)) for one in cut]
         lacking = [i for i, parts in enumerate(found) if None in parts]
         new = {c for i in lacking for c, b in zip(cut[i], found[i]) if b is None}
-        ordered = list(new)
-        fresh = dict(zip(ordered, self.encode_many(ordered)))
+        # A full stop or comma after a letter is always a piece of its own, so the
+        # chunk without it will do: it is often known or wanted already.
+        stems = {c: c[:-1] for c in new if c[-1] in TAILS and len(c) > 2 and c[-2].isalpha()}
+        wanted = list({stems.get(c, c) for c in new}.difference(kept))
+        fresh = dict(zip(wanted, self.encode_many(wanted)))
+        for c, stem in stems.items():
+            if c not in fresh:
+                fresh[c] = (kept.get(stem) or fresh[stem]) + self.tail(c[-1])
         for i in lacking:
             found[i] = [fresh[c] if b is None else b for c, b in zip(cut[i], found[i])]
         kept.update((c, b) for c, b in fresh.items() if len(c) <= LONGEST_KEPT)
         return list(map(b"".join, found))
 
+    def tail(self, sign: str) -> bytes:
+        if sign not in self.tails:
+            self.tails[sign] = self.encode_many([sign])[0]
+        return self.tails[sign]
+
 
 def blocks(column, most_chars: int = 2_000_000):
     """Slices of a string column of about ``most_chars`` bytes, one row at least."""
