@@ -8,14 +8,15 @@ very end; any order gives the same answer.
 1. Documents with equal sets are one class; classes with the same prefix and size
    are one group, and only groups enter the join.
 2. Groups that share a prefix shingle form a bucket. A bucket is never expanded to
-   all its pairs. In each round, every member meets one member of its buckets,
-   drawn anew; pairs survive if their sizes and parity bitmaps allow the threshold
-   (the bitmaps' distance is at most the sets' difference), and survivors are
-   verified on the whole sets. Verified links join components.
+   all its pairs. While buckets of over ``LARGE`` members hold several components,
+   every member of one meets a member of its buckets that is drawn anew each round;
+   the nearest is verified on the whole sets, and verified links join components.
 3. Last, in buckets that still hold several components, members outside the
-   bucket's largest component meet all members of other components, pass the same
-   filters and are verified. Pairs inside a component need no test: they change
-   nothing. So the components are those of all links.
+   bucket's largest component meet all members of other components. A pair is
+   verified if its sizes, its parity bitmaps (their distance is at most the sets'
+   difference) and the number of prefix shingles it shares allow the threshold.
+   Pairs inside a component need no test: they change nothing. So the components
+   are those of all links.
 
 Defined results: words are runs of bytes other than space and \\x09-\\x0d, A-Z
 lower-cased; null and blank texts have no shingles and link with nothing; rows that
@@ -39,6 +40,7 @@ from ledgerloom.llm.components import components
 from ledgerloom.llm.wordhash import Words, mix
 
 WIDTH, PERCENT, ROUNDS = 5, 80, 3
+LARGE = 16
 FREQUENT = 1 << 20  # shingles whose frequency the order knows; changes no result
 BITMAP_WORDS = 8
 BITS = [f"bits{i}" for i in range(BITMAP_WORDS)]
@@ -138,20 +140,22 @@ def profiles(rows: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
 
 
 def buckets(found: DataFrame) -> DataFrame:
-    """``bucket``, ``group``: groups that share a prefix shingle, and groups of several classes."""
+    """``bucket``, ``group``, ``weight``: groups that share a prefix shingle, and groups
+    of several classes. The weight is the number of shingles that the bucket stands for."""
     entries = found.where("size > 0").select("group", F.explode("prefix").alias("token"))
     met = settled(entries.groupBy("token").agg(
         F.count("*").alias("n"), F.min("group").alias("low"), F.max("group").alias("high"))
         .where("low <> high"), "shared-shingles")
     # A shingle of two rows names both of its groups; the others are looked up.
-    pairs = met.where("n = 2").select("low", "high").distinct().select(
-        F.xxhash64("low", "high").alias("bucket"), F.explode(F.array("low", "high")).alias("group"))
+    pairs = met.where("n = 2").groupBy("low", "high").agg(F.count("*").alias("weight")).select(
+        F.xxhash64("low", "high").alias("bucket"), F.explode(F.array("low", "high")).alias("group"), "weight")
     many = settled(met.where("n > 2").select("token"), "many-shingles")
     looked = entries.join(shipped(many), "token").select(F.col("token").alias("bucket"), "group").distinct()
     alike = found.where("size > 0").groupBy("group").agg(
-        F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select(
-        F.xxhash64("group", F.lit(1)).alias("bucket"), "group")
-    return pairs.unionByName(looked).unionByName(alike)
+        F.min("class").alias("low"), F.max("class").alias("high"), F.max(F.size("prefix")).alias("weight"))
+    alike = alike.where("low <> high").select(F.xxhash64("group", F.lit(1)).alias("bucket"), "group",
+                                              F.col("weight").cast("long"))
+    return pairs.unionByName(looked.withColumn("weight", F.lit(1).cast("long"))).unionByName(alike)
 
 
 def allowed(percent: int):
@@ -163,32 +167,39 @@ def allowed(percent: int):
 
 
 def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) of classes whose whole sets reach the threshold."""
-    wanted = shipped(settled(
-        pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-        .join(nodes.select("class", "sample", "seed"), "class"), "wanted-sets"))
-    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("sample"))).select("class", "seed", "text")
-
-    def sets(batches):
-        for batch in batches:
-            for at, texts in blocks(batch.column("text"), 1_000_000):
-                row, token = shingles(texts, width)
-                sizes = np.bincount(row, minlength=len(texts))
-                ends = np.cumsum(sizes)
-                cls = np.asarray(batch.column("class").slice(at, len(texts)))
-                seed = np.asarray(batch.column("seed").slice(at, len(texts)))
-                keep, out = [], []
-                for i, (n, end) in enumerate(zip(sizes, ends)):
-                    own = token[end - n:end]
-                    mark = mix(np.array([2 * seed[i] + 1], np.uint64))[0]
-                    total = np.add.reduce(mix(own ^ mark)) + np.uint64(n)
-                    if mix(np.array([total]))[:1].view(np.int64)[0] == cls[i]:
-                        keep.append(cls[i])
-                        out.append(own.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(out, pa.binary())], ["class", "set"])
-
-    stored = settled(texts.mapInArrow(sets, "class long, set binary").groupBy("class")
-                     .agg(F.first("set").alias("set")), "sets")
+    """The pairs (``a``, ``b``) of classes whose whole sets reach the threshold. The sets
+    of ``a`` travel once for each pair, those of ``b`` once."""
+    def sets(wanted: DataFrame, label: str) -> DataFrame:
+        """class, ``b`` and set of one row of each wanted class, made from its text."""
+        wanted = shipped(settled(wanted.join(nodes.select("class", "sample", "seed"), "class"), label))
+        texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("sample"))).select("class", "b", "seed", "text")
+
+        def run(batches):
+            for batch in batches:
+                for at, texts in blocks(batch.column("text"), 1_000_000):
+                    row, token = shingles(texts, width)
+                    sizes = np.bincount(row, minlength=len(texts))
+                    ends = np.cumsum(sizes)
+                    part = batch.slice(at, len(texts))
+                    cls, seed = np.asarray(part.column("class")), np.asarray(part.column("seed"))
+                    keep, out = [], []
+                    for i, (n, end) in enumerate(zip(sizes, ends)):
+                        own = token[end - n:end]
+                        mark = mix(np.array([2 * seed[i] + 1], np.uint64))[0]
+                        total = np.add.reduce(mix(own ^ mark)) + np.uint64(n)
+                        # Rows that share the id, but not the set, are not meant.
+                        if mix(np.array([total]))[:1].view(np.int64)[0] == cls[i]:
+                            keep.append(i)
+                            out.append(own.tobytes())
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(c).take(pa.array(keep, pa.int64())) for c in ("class", "b")]
+                        + [pa.array(out, pa.binary())], ["class", "b", "set"])
+
+        return texts.mapInArrow(run, "class long, b long, set binary")
+
+    left = sets(pairs.select(F.col("a").alias("class"), "b"), "wanted-a").select(F.col("class").alias("a"), "b", F.col("set").alias("x"))
+    right = sets(pairs.select(F.col("b").alias("class")).distinct().withColumn("b", F.col("class")), "wanted-b")
+    right = right.select("b", F.col("set").alias("y"))
 
     def compare(batches):
         for batch in batches:
@@ -199,8 +210,7 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, pe
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left, right = (stored.select(F.col("class").alias(k), F.col("set").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
 def class_labels(found: DataFrame, rows: DataFrame, width: int, percent: int, seed: int,
@@ -211,6 +221,7 @@ def class_labels(found: DataFrame, rows: DataFrame, width: int, percent: int, se
             F.min("id").alias("sample"), *[F.first(c).alias(c) for c in ("size", "group", *BITS)])
         .withColumn("seed", F.lit(seed).cast("long")), "classes")
     members = settled(buckets(found).join(nodes.select("class", "size", "group", *BITS), "group").drop("group"), "buckets")
+    big = settled(members.groupBy("bucket").agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE).select("bucket"), "large-buckets")
     condition, apart = allowed(percent)
     links, labels = None, None
     other = [F.col(c).alias(c + "2") for c in ("class", "size", *BITS)]
@@ -221,10 +232,12 @@ def class_labels(found: DataFrame, rows: DataFrame, width: int, percent: int, se
         else:
             now = members.join(labels, members["class"] == labels["node"], "left").withColumn(
                 "label", F.coalesce("label", "class")).drop("node")
+        if turn < rounds:
+            now = now.join(big, "bucket")
         mixed = now.groupBy("bucket").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l <> _h").select("bucket")
         now = settled(now.join(mixed, "bucket"), "mixed-buckets")
         if not now.head(1):
-            break
+            continue
         if turn < rounds:
             # Each member meets one drawn member of each of its buckets; the nearest stays.
             order = F.xxhash64("bucket", "class", F.lit(turn))
@@ -233,7 +246,7 @@ def class_labels(found: DataFrame, rows: DataFrame, width: int, percent: int, se
             met = now.join(drawn, "bucket").where("label <> label2").select("class", "class2", "size", *BITS).distinct()
             met = met.join(nodes.select(*other), "class2").where(condition)
             pairs = met.withColumn("_d", apart).groupBy("class").agg(F.min_by("class2", F.struct("_d", "class2")).alias("b"))
-            pairs = pairs.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
+            pairs = pairs.select(F.col("class").alias("a"), "b")
         else:
             counted = now.groupBy("bucket", "label").agg(F.count("*").alias("_n"))
             largest = counted.groupBy("bucket").agg(F.max_by("label", F.struct("_n", "label")).alias("_main"))
@@ -243,7 +256,13 @@ def class_labels(found: DataFrame, rows: DataFrame, width: int, percent: int, se
             met = outside.join(across, "bucket").where(
                 (F.col("label") != F.col("label2")) & condition
                 & ((F.col("label2") == F.col("_main2")) | (F.col("class") < F.col("class2"))))
-            pairs = met.select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct()
+            # Each bucket that a pair shares has given one row. Shingles beyond the
+            # prefixes cannot make up for too few shared ones within them.
+            met = met.groupBy(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).agg(
+                F.sum("weight").alias("_shared"), F.first("size").alias("_s"), F.first("size2").alias("_t"))
+            needed = lambda n: F.ceil(F.col(n) * percent / F.lit(100))
+            beyond = F.greatest(needed("_s"), needed("_t")) - 1
+            pairs = met.where((F.col("_shared") + beyond) * (100 + percent) >= percent * (F.col("_s") + F.col("_t"))).select("a", "b")
         pairs = settled(pairs, "candidates")
         if not pairs.head(1):
             continue

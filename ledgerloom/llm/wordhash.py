@@ -83,8 +83,7 @@ class Words:
         the end of the row or column hold no meaning and are for the caller to skip."""
         words = self.hashes(seed)
         base, out = _BASES[seed], np.zeros(len(words), np.uint64)
-        for step in range(size):
-            out[:len(words) - step] = out[:len(words) - step] * base + words[step:]
-            if step:
-                out[len(words) - step:] = out[len(words) - step:] * base
+        for step in range(min(size, len(words))):
+            out *= base
+            out[:len(words) - step] += words[step:]
         return mix(out)
