@@ -1,9 +1,10 @@
 """Settlement candidates of bank records, and the exact rules over them.
 
-The candidate menu of a bank record depends only on its merchant and date, so
-menus are built once per distinct (merchant, date). A menu is cut from daily
-counts before any settlement is joined: no step emits more than the menu
-limit per bank record, however many settlements a merchant has.
+Rules meet settlements by merchant and reference alone, so a decision reads only
+the pairs it can be about and no limit can hide one. Candidate menus serve the
+ranking of records that the rules leave open. A menu depends only on a record's
+merchant and date, so menus are built once per distinct (merchant, date); limits
+on them are off unless asked for.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ BANK_COLUMNS = ["bank_record_id", "merchant_id", "transaction_date", "value_date
 
 
 def candidate_menus(bank: DataFrame, settlements: DataFrame, window_days: int = vocab.WINDOW_DAYS,
-                    window_limit: int | None = vocab.WINDOW_LIMIT,
-                    merchant_limit: int | None = vocab.MERCHANT_LIMIT) -> DataFrame:
+                    window_limit: int | None = None, merchant_limit: int | None = None
+                    ) -> DataFrame:
     """Settlements on the menu of every (merchant, date) that some bank record has.
 
-    The menu holds the merchant's settlements within the window in date order;
-    when there are none, or the date is unknown, the merchant's first ones.
+    The menu holds the merchant's settlements within the window; when there are
+    none, or the date is unknown, all of the merchant's. ``window_limit`` and
+    ``merchant_limit`` keep the first ones by date, for callers who want that.
     """
     held = settlements.select("merchant_id", F.struct(*SETTLEMENT_COLUMNS).alias("s"),
                               F.to_date("settlement_date").alias("day"))
@@ -89,7 +91,33 @@ def _reference_equal() -> Column:
     return (key != "") & (key == match_key("utr"))
 
 
-def resolve(pairs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def reference_pairs(bank: DataFrame, settlements: DataFrame,
+                    window_days: int = vocab.WINDOW_DAYS) -> DataFrame:
+    """Every bank record with the settlements of its menu that share its reference, or with
+    nulls. The same pairs as on unlimited menus, without building the menus."""
+    kept = [c for c in BANK_COLUMNS if c in bank.columns]
+    held = settlements.select(F.col("merchant_id").alias("_m"), match_key("utr").alias("_key"),
+                              *SETTLEMENT_COLUMNS).filter(F.col("_key") != "")
+    # Whether any settlement lies in the window, from the days that have one.
+    days = settlements.select(F.col("merchant_id").alias("_m2"), F.to_date("settlement_date")
+                              .alias("_day")).filter(F.col("_day").isNotNull()).distinct()
+    around = F.sequence(F.date_sub("_center", window_days), F.date_add("_center", window_days))
+    served = (bank.filter(F.col("transaction_date").isNotNull())
+              .select(F.col("merchant_id").alias("_m2"), F.col("transaction_date").alias("_center"))
+              .distinct().withColumn("_day", F.explode(around)).join(days, ["_m2", "_day"])
+              .select("_m2", "_center").distinct().withColumn("_served", F.lit(True)))
+    mine = bank.select(*kept, match_key("reference").alias("_ref_key")).join(
+        served, (F.col("merchant_id") == F.col("_m2"))
+        & (F.col("transaction_date") == F.col("_center")), "left").drop("_m2", "_center")
+    met = mine.join(held, (F.col("merchant_id") == F.col("_m"))
+                    & (F.col("_ref_key") == F.col("_key")), "left")
+    gap = day_gap("transaction_date", F.to_date("settlement_date"))
+    on_menu = F.col("_served").isNull() | (gap <= window_days)
+    shown = [F.when(on_menu, F.col(c)).alias(c) for c in SETTLEMENT_COLUMNS]
+    return met.select(*kept, *shown, F.when(on_menu, gap).alias("date_difference"))
+
+
+def resolve(pairs: DataFrame) -> DataFrame:
     """One decision per bank record: a unique exact match wins, then a unique reference match."""
     both = amounts_equal("amount", "net_amount") & _reference_equal()
     only = _reference_equal() & ~amounts_equal("amount", "net_amount")
@@ -150,19 +178,21 @@ def resolve_by_reference(bank: DataFrame, settlements: DataFrame) -> DataFrame:
 
     Settlements are counted per (merchant, reference) and per (merchant,
     reference, amount) first, so a bank record meets one row of each, whatever
-    the number of settlements that share a reference.
+    the number of settlements that share a reference. An ambiguous decision names
+    all of them, which is the answer asked for.
     """
     keyed = settlements.select(
         F.col("merchant_id").alias("_m"), match_key("utr").alias("_key"), "settlement_id",
         "net_amount", "utr", F.to_date("settlement_date").alias("_day"),
     ).filter(F.col("_key") != "")
     least = F.min(F.struct("settlement_id", "net_amount", "utr", "_day"))
+    every = F.array_join(F.sort_array(F.collect_list("settlement_id")), ",")
     by_ref = keyed.groupBy("_m", "_key").agg(F.count(F.lit(1)).alias("_n_ref"),
-                                             least.alias("_ref"))
+                                             least.alias("_ref"), every.alias("_ref_ids"))
     by_both = keyed.groupBy("_m", "_key", "net_amount").agg(
-        F.count(F.lit(1)).alias("_n_eq"), least.alias("_eq")).select(
+        F.count(F.lit(1)).alias("_n_eq"), least.alias("_eq"), every.alias("_eq_ids")).select(
         F.col("_m").alias("_m2"), F.col("_key").alias("_key2"),
-        F.col("net_amount").alias("_net2"), "_n_eq", "_eq")
+        F.col("net_amount").alias("_net2"), "_n_eq", "_eq", "_eq_ids")
     mine = bank.withColumn("_ref_key", match_key("reference"))
     joined = (
         mine.join(by_ref, (F.col("merchant_id") == F.col("_m"))
@@ -178,20 +208,19 @@ def resolve_by_reference(bank: DataFrame, settlements: DataFrame) -> DataFrame:
                         day_gap("transaction_date", F.col(f"{name}._day")).alias(
                             "date_difference"))
 
-    none = F.lit(None).cast("string")
     both = F.coalesce("_n_eq", F.lit(0))
     summary = joined.select(
         "bank_record_id", "amount", "reference", both.alias("_n_both"),
         (F.coalesce("_n_ref", F.lit(0)) - both).alias("_n_only"),
         hit("_eq").alias("_hit_both"), hit("_ref").alias("_hit_only"),
-        none.alias("_both_ids"), none.alias("_only_ids"))
+        F.col("_eq_ids").alias("_both_ids"), F.col("_ref_ids").alias("_only_ids"))
     return _decide(summary)
 
 
-def resolve_within_and_beyond(bank: DataFrame, settlements: DataFrame, pairs: DataFrame
-                              ) -> DataFrame:
-    """Menu decisions; a record with no reference match there is looked up over all settlements."""
-    inside = resolve(pairs)
+def resolve_within_and_beyond(bank: DataFrame, settlements: DataFrame) -> DataFrame:
+    """Decisions within the window; a record without a reference match there is looked up over
+    all settlements."""
+    inside = resolve(reference_pairs(bank, settlements))
     found = inside.filter(F.col("rule") != "NO_DETERMINISTIC_SETTLEMENT_BANK_MATCH")
     open_ids = inside.filter(F.col("rule") == "NO_DETERMINISTIC_SETTLEMENT_BANK_MATCH").select(
         F.col("source_record_id").alias("bank_record_id"))
@@ -201,7 +230,8 @@ def resolve_within_and_beyond(bank: DataFrame, settlements: DataFrame, pairs: Da
 
 def rank_candidates(pairs: DataFrame, window_days: int = vocab.WINDOW_DAYS,
                     limit: int | None = vocab.CANDIDATE_LIMIT) -> DataFrame:
-    """Closest candidates per bank record by amount, reference and date.
+    """Closest candidates per bank record by amount, reference and date: the top ``limit``
+    of the ranking, or all for None.
 
     Pairs outside the window are dropped unless a date is unknown.
     """

@@ -89,18 +89,26 @@ def file_round_trip(fx):
                        "transaction_date", "reference", "description")
 
 
-@query("csv_round_trip", """
-select row_number, bank_record_id, amount, currency from (
+# The text column carries quotes, separators, line breaks and backslashes.
+@query("csv_round_trip", r"""
+select row_number, bank_record_id, amount, currency, md5(note) as note from (
   select row_number, trim(bank_record_id) as bank_record_id, amount,
-         case when currency = '' then null else currency end as currency from t_raw_bank)""")
+         case when currency = '' then null else currency end as currency,
+         '"' || replace(text, '. ', '", \ ') || '\' || chr(10) || '"x"' as note
+  from t_raw_bank join documents on doc_id = row_number)""")
 def csv_round_trip(fx):
-    """The raw feed written as CSV to the shared folder and scanned back."""
+    """The raw feed, with a document's text to each row, written as CSV and scanned back."""
     path = staging_path(fx.spark, "csv")
-    fx.raw_bank.select("row_number", "bank_record_id", "amount", "currency").write.option(
-        "header", True).option("emptyValue", "").csv(path)
-    rows = files.read_csv(fx.spark, path, sep=files.detect_delimiter(fx.spark, path),
-                          encoding="UTF-8", required=["bank_record_id", "amount"])
-    return rows.withColumn("row_number", F.col("row_number").cast("bigint"))
+    text = F.replace("text", F.lit(". "), F.lit('", \\ '))
+    notes = fx.raw("documents").select(
+        F.col("doc_id").alias("row_number"),
+        F.concat(F.lit('"'), text, F.lit('\\\n"x"')).alias("note"))
+    fx.raw_bank.join(notes, "row_number").select(
+        "row_number", "bank_record_id", "amount", "currency", "note").write.option(
+        "header", True).option("emptyValue", "").option("escape", '"').csv(path)
+    rows = files.read_csv(fx.spark, path, encoding="UTF-8", required=["bank_record_id", "amount"])
+    return rows.withColumn("row_number", F.col("row_number").cast("bigint")).withColumn(
+        "note", F.md5("note"))
 
 
 @query("document_admission", """

@@ -252,18 +252,16 @@ def settlement_cases(fx):
 
 MENU_SQL = {
     "t_near": """
-select b.bank_record_id, s.settlement_id, row_number() over (partition by b.bank_record_id
-         order by s.settlement_date, s.settlement_id) as k
+select b.bank_record_id, s.settlement_id
 from t_bank_records b join t_settlements s on s.merchant_id = b.merchant_id
  and abs(datediff('day', b.transaction_date, cast(s.settlement_date as date))) <= 25""",
     "t_far": """
-select b.bank_record_id, s.settlement_id, row_number() over (partition by b.bank_record_id
-         order by s.settlement_date, s.settlement_id) as k
+select b.bank_record_id, s.settlement_id
 from t_bank_records b join t_settlements s on s.merchant_id = b.merchant_id
 where b.bank_record_id not in (select bank_record_id from t_near)""",
     "t_menu": """
-select bank_record_id, settlement_id from t_near where k <= 60
-union all select bank_record_id, settlement_id from t_far where k <= 200""",
+select bank_record_id, settlement_id from t_near
+union all select bank_record_id, settlement_id from t_far""",
     "t_judged_pairs": """
 select b.bank_record_id, b.amount, b.transaction_date, s.settlement_id, s.net_amount,
        s.settlement_date, key <> '' and key = utr_key and b.amount = s.net_amount as both_equal,
@@ -318,6 +316,15 @@ def _pairs(fx):
         fx.bank_records, candidates.candidate_menus(fx.bank_records, fx.settlements))
 
 
+def _open_pairs(fx):
+    """Menus of the records that the rules leave open."""
+    decided = candidates.resolve(candidates.reference_pairs(fx.bank_records, fx.settlements))
+    open_ids = decided.filter(~F.col("resolved")).select(
+        F.col("source_record_id").alias("bank_record_id"))
+    bank = fx.bank_records.join(open_ids, "bank_record_id", "left_semi")
+    return candidates.pair_with_menus(bank, candidates.candidate_menus(bank, fx.settlements))
+
+
 @query("bank_candidate_menu", "select bank_record_id, settlement_id from t_menu", MENU_SQL)
 def bank_candidate_menu(fx):
     return _pairs(fx).filter(F.col("settlement_id").isNotNull()).select(
@@ -326,7 +333,7 @@ def bank_candidate_menu(fx):
 
 @query("bank_settlement_rules", resolved_sql("t_judged_pairs"), MENU_SQL)
 def bank_settlement_rules(fx):
-    return brief(candidates.resolve(_pairs(fx)))
+    return brief(candidates.resolve(candidates.reference_pairs(fx.bank_records, fx.settlements)))
 
 
 @query("bank_settlement_rules_beyond_window", f"""
@@ -336,8 +343,7 @@ union all
 select b.* from b join a on a.source_record_id = b.source_record_id
 where a.rule = 'NO_DETERMINISTIC_SETTLEMENT_BANK_MATCH'""", MENU_SQL)
 def bank_settlement_rules_beyond_window(fx):
-    return brief(candidates.resolve_within_and_beyond(fx.bank_records, fx.settlements,
-                                                      _pairs(fx)))
+    return brief(candidates.resolve_within_and_beyond(fx.bank_records, fx.settlements))
 
 
 @query("bank_cases_by_rule", f"""
@@ -435,11 +441,8 @@ def candidate_context_features(fx):
 
 @query("ranked_bank_candidates")
 def ranked_bank_candidates(fx):
-    pairs = _pairs(fx)
-    unresolved = candidates.resolve(pairs).filter(~F.col("resolved")).select(
-        F.col("source_record_id").alias("bank_record_id"))
-    open_pairs = pairs.join(unresolved, "bank_record_id", "left_semi")
-    return features.align(cases.candidate_features(open_pairs), ["bank_record_id", "target_id"])
+    return features.align(cases.candidate_features(_open_pairs(fx)),
+                          ["bank_record_id", "target_id"])
 
 
 # --- documented extras --------------------------------------------------------------
@@ -556,11 +559,7 @@ def context_tolerances(fx):
 
 @query("fuzzy_tier_flags")
 def fuzzy_tier_flags(fx):
-    pairs = _pairs(fx)
-    unresolved = candidates.resolve(pairs).filter(~F.col("resolved")).select(
-        F.col("source_record_id").alias("bank_record_id"))
-    ranked = features.pair_features(candidates.rank_candidates(
-        pairs.join(unresolved, "bank_record_id", "left_semi")))
+    ranked = features.pair_features(candidates.rank_candidates(_open_pairs(fx)))
     flagged = matching.fuzzy_flags(ranked, F.col("description_token_overlap"))
     return flagged.select("bank_record_id", "target_id", "fuzzy_reference", "fuzzy_text",
                           "fuzzy_amount", "fuzzy_days", "fuzzy_passed")

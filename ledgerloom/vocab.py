@@ -45,8 +45,6 @@ ENTITY_CODES = {
 # --- run settings -------------------------------------------------------------
 
 WINDOW_DAYS = 25
-WINDOW_LIMIT = 60
-MERCHANT_LIMIT = 200
 CANDIDATE_LIMIT = 20
 AMBIGUITY_MARGIN = 0.08
 MATCH_THRESHOLD = 0.275

@@ -33,7 +33,11 @@ def stl(i, net="100.00", utr="UTIB123", mer="MER_1", day=DAY):
 def decide(spark, banks, settlements):
     b, s = spark.createDataFrame(banks, BANK), spark.createDataFrame(settlements, STL)
     pairs = candidates.pair_with_menus(b, candidates.candidate_menus(b, s))
-    return {r.source_record_id: r for r in candidates.resolve(pairs).collect()}
+    key = lambda r: r.source_record_id
+    by_menu = sorted(candidates.resolve(pairs).collect(), key=key)
+    by_key = sorted(candidates.resolve(candidates.reference_pairs(b, s)).collect(), key=key)
+    assert by_menu == by_key
+    return {r.source_record_id: r for r in by_key}
 
 
 def test_exact_reference_only_and_none(spark):
@@ -58,7 +62,20 @@ def test_reference_beyond_window_is_found(spark):
     s = spark.createDataFrame([stl("S1", utr="NEAR"), stl("S2", utr="FAR", day=far)], STL)
     pairs = candidates.pair_with_menus(b, candidates.candidate_menus(b, s))
     assert candidates.resolve(pairs).first().status == vocab.UNMATCHED
-    assert candidates.resolve_within_and_beyond(b, s, pairs).first().matched_record_id == "S2"
+    assert candidates.resolve_within_and_beyond(b, s).first().matched_record_id == "S2"
+
+
+def test_many_settlements_of_a_day_hide_no_match(spark):
+    far = DAY + dt.timedelta(days=90)
+    stls = [stl(f"S{i:03}", utr="UTIB123" if i in (5, 69) else f"R{i}") for i in range(70)]
+    stls += [stl(f"F{i:03}", utr="FAR", day=far, mer="MER_2") for i in range(3)] + [stl("N", mer="MER_2", utr="X")]
+    got = decide(spark, [bank("B1")], stls)
+    assert got["B1"].rule == "AMBIGUOUS_EXACT_MATCHES"
+    assert got["B1"].explanation_facts["candidate_ids"] == "S005,S069"
+    b, s = spark.createDataFrame([bank("B2", ref="FAR", mer="MER_2")], BANK), spark.createDataFrame(stls, STL)
+    beyond = candidates.resolve_within_and_beyond(b, s).first()
+    assert beyond.rule == "AMBIGUOUS_EXACT_MATCHES"
+    assert beyond.explanation_facts["candidate_ids"] == "F000,F001,F002"
 
 
 def test_menus_equal_brute_force_under_skew(spark):

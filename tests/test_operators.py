@@ -108,7 +108,7 @@ def test_chunks(spark):
     assert "19999" in last.content and last.chunk_index > 1000
 
 
-def test_keyword_paths_agree_with_brute_force(spark):
+def test_keyword_search_agrees_with_brute_force(spark):
     rng = random.Random(2)
     words = ["pay", "ment", "payment", "refund", "élan", "x_1", "the", "ledger"]
     secs = [(f"s{i:02}", " ".join(rng.choice(words) + rng.choice(["", "s", "-b"])
@@ -117,9 +117,9 @@ def test_keyword_paths_agree_with_brute_force(spark):
     q = spark.createDataFrame(asked, "question_id int, text string")
     s = spark.createDataFrame(secs, "section_id string, content string")
 
-    def run(limit):
-        return {(r.question_id, r.section_id, r.score) for r in retrieval.keyword_search(
-            q, s, 4, max_words=limit).collect()}
+    def run(asked):
+        return {(r.question_id, r.section_id, r.score)
+                for r in retrieval.keyword_search(asked, s, 4).collect()}
 
     want = set()
     stop = set(vocab.QUESTION_STOPWORDS)
@@ -127,8 +127,15 @@ def test_keyword_paths_agree_with_brute_force(spark):
         need = set(text.lower().split()) - stop
         ranked = sorted((-sum(w in c.lower() for w in need), sid) for sid, c in secs)
         want |= {(i, sid, -score) for score, sid in ranked[:4] if score < 0 or not need}
-    assert run(100) == want
-    assert run(0) == want
+    assert run(q) == want
+    assert run(q.filter("question_id = 3")) == {r for r in want if r[0] == 3}
+    assert run(q.limit(0)) == set()
+
+
+def test_csv_keeps_quotes_breaks_and_backslashes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,note\n1,"say ""hi"" now"\n2,"two\nlines, one cell"\n3,"c:\\dir\\"\n\n4,\n')
+    rows = {r.id: r.note for r in files.read_csv(spark, str(tmp_path)).collect()}
+    assert rows == {"1": 'say "hi" now', "2": "two\nlines, one cell", "3": "c:\\dir\\", "4": None}
 
 
 def test_vector_search_blocks_agree(spark):
