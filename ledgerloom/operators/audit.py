@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,26 +113,45 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataF
         parent.select(F.col(key).alias("orphan_id")), "orphan_id", "left_anti")
 
 
-def orphan_totals(tables: dict[str, DataFrame], pairs=None) -> DataFrame:
-    """Orphans per foreign key."""
-    return _union([
-        _literals(orphans(tables[child], column, tables[parent], vocab.PRIMARY_KEYS[parent])
-                  .agg(F.count(F.lit(1)).alias("orphans")), column_name=column)
-        for child, column, parent in pairs or vocab.FOREIGN_KEYS])
+def _lost(tables: dict[str, DataFrame], pairs) -> DataFrame:
+    """(child_table, column_name, parent_table, orphan_id, rows) of keys without a parent.
+
+    Keys are counted per id first; all children of one parent meet it in one join.
+    """
+    out = []
+    for parent in dict.fromkeys(p for _, _, p in pairs):
+        named = _union([
+            tables[child].filter(F.col(column).isNotNull())
+            .groupBy(F.col(column).alias("orphan_id")).agg(F.count(F.lit(1)).alias("rows"))
+            .select(F.lit(child).alias("child_table"), F.lit(column).alias("column_name"),
+                    F.lit(parent).alias("parent_table"), "orphan_id", "rows")
+            for child, column, p in pairs if p == parent])
+        held = tables[parent].select(F.col(vocab.PRIMARY_KEYS[parent]).alias("orphan_id"))
+        out.append(named.join(held, "orphan_id", "left_anti").select(named.columns))
+    return _union(out)
 
 
 def orphan_counts(tables: dict[str, DataFrame], pairs=None, samples: int = 10) -> DataFrame:
     """Orphans per foreign key, with the first few ids in order."""
-    out = []
-    for child, column, parent in pairs or vocab.FOREIGN_KEYS:
-        lost = orphans(tables[child], column, tables[parent], vocab.PRIMARY_KEYS[parent])
-        total = lost.agg(F.count(F.lit(1)).alias("orphans"))
-        few = lost.select("orphan_id").distinct().orderBy("orphan_id").limit(samples).agg(
-            F.array_join(F.sort_array(F.collect_list("orphan_id")), ",").alias("sample_ids"))
-        both = total.withColumn("sample_ids", few.scalar())
-        out.append(_literals(both, child_table=child, column_name=column, parent_table=parent))
-    return _union(out).select("child_table", "column_name", "parent_table", "orphans",
-                              "sample_ids")
+    pairs = list(pairs or vocab.FOREIGN_KEYS)
+    key = ["child_table", "column_name", "parent_table"]
+    total = F.sum("rows").over(Window.partitionBy(*key))
+    order = F.row_number().over(Window.partitionBy(*key).orderBy("orphan_id"))
+    few = _lost(tables, pairs).withColumn("place", order).withColumn("orphans", total).filter(
+        F.col("place") <= samples).groupBy(*key).agg(
+        F.first("orphans").alias("orphans"),
+        F.array_join(F.sort_array(F.collect_list("orphan_id")), ",").alias("sample_ids"))
+    spark = few.sparkSession
+    return spark.createDataFrame(pairs, "child_table string, column_name string, "
+                                 "parent_table string").join(few, key, "left").select(
+        *key, F.coalesce("orphans", F.lit(0)).alias("orphans"),
+        F.coalesce("sample_ids", F.lit("")).alias("sample_ids"))
+
+
+def orphan_totals(tables: dict[str, DataFrame], pairs=None) -> DataFrame:
+    """Orphans per column of the foreign keys that have some."""
+    return _lost(tables, list(pairs or vocab.FOREIGN_KEYS)).groupBy("column_name").agg(
+        F.sum("rows").alias("orphans"))
 
 
 def null_counts(tables: dict[str, DataFrame], required: dict[str, list[str]] = REQUIRED
@@ -223,12 +242,17 @@ def link_problems(links: DataFrame, settlements: DataFrame, payments: DataFrame)
         "problem", "failures")
 
 
-def largest_bank_gaps(bank: DataFrame, settlements: DataFrame, top: int = 20) -> DataFrame:
-    """Linked bank records furthest from their settlement amount."""
+def bank_gaps(bank: DataFrame, settlements: DataFrame) -> DataFrame:
+    """Distance of every linked bank record from its settlement amount."""
     linked = bank.filter(F.col("settlement_id").isNotNull()).join(
         settlements.select("settlement_id", "net_amount"), "settlement_id")
     gap = F.abs(F.col("amount") - F.col("net_amount"))
-    return linked.select("bank_record_id", "amount", "net_amount", gap.alias("difference")) \
+    return linked.select("bank_record_id", "amount", "net_amount", gap.alias("difference"))
+
+
+def largest_bank_gaps(bank: DataFrame, settlements: DataFrame, top: int = 20) -> DataFrame:
+    """Linked bank records furthest from their settlement amount: a listing of the top few."""
+    return bank_gaps(bank, settlements) \
         .orderBy(F.col("difference").desc(), "bank_record_id").limit(top)
 
 
@@ -279,15 +303,19 @@ def source_duplicates(tables: dict[str, DataFrame]) -> DataFrame:
     return _union(out).select("table_name", "duplicates")
 
 
+LINEAGE = {"lineage_source": "source_percent", "lineage_source_record_id": "record_percent",
+           "lineage_ingested_at": "ingested_percent", "lineage_normalizer_ver": "version_percent"}
+
+
 def lineage_coverage(tables: dict[str, DataFrame], least: float = 90.0) -> DataFrame:
+    """Filled share of the lineage columns per table; the source's share decides."""
     out = []
     for name, df in tables.items():
-        filled = F.col("lineage_source").isNotNull() & F.col(
-            "lineage_source_record_id").isNotNull()
-        share = F.round(F.avg(F.when(filled, 100.0).otherwise(0.0)), 2)
-        out.append(df.agg(share.alias("coverage")).select(
-            F.lit(name).alias("table_name"), "coverage",
-            F.when(F.col("coverage") < least, "FAIL").otherwise("PASS").alias("status")))
+        shares = [F.round(100.0 * F.count(c) / F.count(F.lit(1)), 2).alias(label)
+                  for c, label in LINEAGE.items()]
+        out.append(df.agg(*shares).select(
+            F.lit(name).alias("table_name"), *LINEAGE.values(),
+            F.when(F.col("source_percent") < least, "WARN").otherwise("PASS").alias("status")))
     return _union(out)
 
 
@@ -362,8 +390,43 @@ def invariants(t: dict[str, DataFrame]) -> DataFrame:
 # --- report ------------------------------------------------------------------------
 
 
-def report(t: dict[str, DataFrame]) -> DataFrame:
-    """All table-level checks as rows of (num, name, status, failure_count, severity, notes)."""
+def _presence_row(num: int, name: str, rows: DataFrame) -> DataFrame:
+    """Passes when there is any row; an empty table is worth a note, no failure."""
+    none = F.col("n") == 0
+    return rows.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(num).alias("num"), F.lit(name).alias("name"),
+        F.when(none, "WARN").otherwise("PASS").alias("status"),
+        F.lit(0).cast("bigint").alias("failure_count"),
+        F.when(none, "LOW").otherwise("INFO").alias("severity"),
+        F.lit(None).cast("string").alias("notes"))
+
+
+def provenance(drift: DataFrame, lineage: dict[str, DataFrame], seen: DataFrame,
+               quarantine: DataFrame, edges: DataFrame, payments: DataFrame) -> DataFrame:
+    """Report rows of the checks on where rows came from: stage counts (2), repeated sources
+    (14), lineage (15), source map (16), quarantine (17) and truth edges (18)."""
+    none = F.lit(0).cast("bigint")
+    missing = truth_gaps(edges, {"payments": payments}, {"payment": "payments"})
+    rows = [
+        verdict_row(2, "Row Counts", drift.agg(F.count_if(F.col("lost") > 0).alias("failures")),
+                    "WARN", "MEDIUM"),
+        verdict_row(14, "Duplicate Detection", source_duplicates(lineage).agg(
+            F.coalesce(F.sum("duplicates"), none).alias("failures")), "INFO", "LOW"),
+        verdict_row(15, "Lineage Check", lineage_coverage(lineage).agg(
+            F.count_if(F.col("status") == "WARN").alias("failures")), "WARN", "MEDIUM"),
+        _presence_row(16, "Normalization Source Map", seen),
+        _presence_row(17, "Quarantine Check", quarantine),
+        verdict_row(18, "GT: event_links→payments", missing.select(
+            F.col("missing").alias("failures")), "WARN", "MEDIUM"),
+    ]
+    return _union([r.select(*ROW) for r in rows])
+
+
+def report(t: dict[str, DataFrame], more: DataFrame | None = None) -> DataFrame:
+    """All table-level checks as rows of (num, name, status, failure_count, severity, notes).
+
+    ``more`` adds rows, such as those of ``provenance``, so that the verdict sees them.
+    """
     fk = orphan_totals(t).agg(
         F.sum("orphans").alias("failures"),
         F.sum(F.when(F.col("column_name").isin(vocab.CRITICAL_FK_COLUMNS), F.col("orphans"))
@@ -407,7 +470,7 @@ def report(t: dict[str, DataFrame]) -> DataFrame:
                     "MEDIUM"),
         verdict_row(9, "Settlement-Payment Consistency", total(links, F.when(
             F.col("problem") != "bad_allocation", F.col("failures"))), "FAIL", "HIGH"),
-        verdict_row(10, "Bank↔Settlement Consistency", largest_bank_gaps(
+        verdict_row(10, "Bank↔Settlement Consistency", bank_gaps(
             t["bank_records"], t["settlements"]).agg(F.count_if(
                 F.col("difference") > 1).alias("failures")), "WARN", "MEDIUM"),
         verdict_row(11, "Invoice↔GST Consistency", tax_gaps(
@@ -419,7 +482,8 @@ def report(t: dict[str, DataFrame]) -> DataFrame:
         verdict_row(13, "Refund Consistency", refunded.select(
             (F.col("single") + F.col("cumulative")).alias("failures")), "WARN", "MEDIUM"),
     ]
-    return _union([r.select(*ROW) for r in rows])
+    own = _union([r.select(*ROW) for r in rows])
+    return own if more is None else own.unionByName(more.select(*ROW))
 
 
 def final_verdict(rows: DataFrame) -> DataFrame:

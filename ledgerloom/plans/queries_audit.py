@@ -48,17 +48,31 @@ def audit_expected_tables(fx):
     return audit.expected_tables(fx.spark, present)
 
 
-@query("audit_row_counts", """
-select 'orders' as table_name, count(*) as raw_count, count(*) as normalized_count,
-       count(*) filter (status <> 'CANCELLED') as loaded_count,
-       count(*) filter (status = 'CANCELLED') as lost from t_orders
-union all
-select 'payments', count(*), count(*), count(*), 0 from t_payments""")
+# The entity tables of the reference feed, each with one key column.
+ENTITIES = ["merchants", "customers", "orders", "invoices", "gst_records", "payments", "fees",
+            "refunds", "settlements", "bank_records", "books", "adjustments"]
+_DEAD = {"orders": "CANCELLED", "payments": "FAILED"}
+DRIFT_SQL = "\nunion all\n".join(
+    f"select '{t}' as table_name, count(*) as raw_count, count(*) filter ({ok}) as "
+    f"normalized_count, count(*) filter ({ok} and {live}) as loaded_count, "
+    f"count(*) filter ({ok} and not {live}) as lost from t_{t}"
+    for t in ENTITIES
+    for ok in [" and ".join(f"{c} is not null" for c in audit.REQUIRED[t])]
+    for live in [f"(status <> '{_DEAD[t]}')" if t in _DEAD else "true"])
+
+
+def _drift(fx):
+    """Rows as they come, those with every required field, and of these the live ones."""
+    whole = {t: getattr(fx, t) for t in ENTITIES}
+    filled = {t: df.dropna(subset=audit.REQUIRED[t]) for t, df in whole.items()}
+    live = {t: df.filter(F.col("status") != _DEAD[t]) if t in _DEAD else df
+            for t, df in filled.items()}
+    return audit.row_count_drift(*map(tables.row_counts, (whole, filled, live)))
+
+
+@query("audit_row_counts", DRIFT_SQL)
 def audit_row_counts(fx):
-    whole = tables.row_counts({"orders": fx.orders, "payments": fx.payments})
-    loaded = tables.row_counts({"orders": fx.orders.filter(F.col("status") != "CANCELLED"),
-                                "payments": fx.payments})
-    return audit.row_count_drift(whole, whole, loaded)
+    return _drift(fx)
 
 
 @query("audit_unique_keys", UNIQUE_SQL)
@@ -181,49 +195,59 @@ def _with_lineage(df, key: str):
     return df.withColumns({
         "lineage_source": F.when(n % 7 != 0, F.lit("FEED")),
         "lineage_source_record_id": F.when(n % 40 == 0, F.lit("SAME")).otherwise(F.col(key)),
+        "lineage_ingested_at": F.when(n % 3 != 0, F.lit("2026-01-01")),
+        "lineage_normalizer_ver": F.when(n % 20 != 0, F.lit("1.0")),
     })
 
 
 def _lineage_sql(table: str, key: str) -> str:
     return (f"select '{table}' as table_name, case when n % 7 <> 0 then 'FEED' end as source, "
-            f"case when n % 40 = 0 then 'SAME' else id end as record from (select {key} as id, "
-            f"{num(key)} as n from t_{table})")
+            f"case when n % 40 = 0 then 'SAME' else id end as record, "
+            f"case when n % 3 <> 0 then 1 end as ingested, case when n % 20 <> 0 then 1 end as ver "
+            f"from (select {key} as id, {num(key)} as n from t_{table})")
 
 
-_LINEAGE = "\nunion all\n".join(_lineage_sql(t, KEYS[t]) for t in ("payments", "books",
-                                                                  "bank_records"))
+_LINEAGE = "\nunion all\n".join(_lineage_sql(t, KEYS[t]) for t in ENTITIES)
 
 
 def _lineage_tables(fx):
-    return {t: _with_lineage(getattr(fx, t), KEYS[t])
-            for t in ("payments", "books", "bank_records")}
+    return {t: _with_lineage(getattr(fx, t), KEYS[t]) for t in ENTITIES}
 
 
-@query("audit_source_duplicates", f"""
+SOURCE_DUPLICATES_SQL = f"""
 select table_name, count(*) filter (n > 1) as duplicates from (
   select table_name, source, record, count(*) as n from ({_LINEAGE})
-  where source is not null and record is not null group by 1, 2, 3) group by 1""")
+  where source is not null and record is not null group by 1, 2, 3) group by 1"""
+COVERAGE_SQL = f"""
+select table_name, round(100.0::double * count(source) / count(*), 2) as source_percent,
+       round(100.0::double * count(record) / count(*), 2) as record_percent,
+       round(100.0::double * count(ingested) / count(*), 2) as ingested_percent,
+       round(100.0::double * count(ver) / count(*), 2) as version_percent,
+       case when round(100.0::double * count(source) / count(*), 2) < 90 then 'WARN' else 'PASS' end
+         as status
+from ({_LINEAGE}) group by 1"""
+
+
+@query("audit_source_duplicates", SOURCE_DUPLICATES_SQL)
 def audit_source_duplicates(fx):
     return audit.source_duplicates(_lineage_tables(fx))
 
 
-@query("audit_lineage_coverage", f"""
-select table_name, round(avg(case when source is not null and record is not null then 100.0::double
-         else 0 end), 2) as coverage,
-       case when round(avg(case when source is not null then 100.0::double else 0 end), 2) < 90
-            then 'FAIL' else 'PASS' end as status
-from ({_LINEAGE}) group by 1""")
+@query("audit_lineage_coverage", COVERAGE_SQL)
 def audit_lineage_coverage(fx):
     return audit.lineage_coverage(_lineage_tables(fx))
 
 
+def _seen(fx):
+    return tables.seen_map(fx.raw("events").select(
+        F.lit("FEED").alias("source"), F.col("event_id").cast("string").alias("source_record_id"),
+        F.col("event_type").alias("entity_type")))
+
+
 @query("audit_source_map", """
 select event_type as entity_type, count(*) as row_count from events group by 1""")
 def audit_source_map(fx):
-    seen = tables.seen_map(fx.raw("events").select(
-        F.lit("FEED").alias("source"), F.col("event_id").cast("string").alias("source_record_id"),
-        F.col("event_type").alias("entity_type")))
-    return audit.by_group(seen, "entity_type")
+    return audit.by_group(_seen(fx), "entity_type")
 
 
 @query("audit_quarantine_groups")
@@ -308,26 +332,54 @@ with f as (
            having count(*) > 1))
          + (select cast(count(*) > 0 as bigint) from (select 1 from t_gst_records
            group by invoice_id having count(*) > 1))
-  union all select 9, 'Settlement-Payment Consistency', 'FAIL', 'HIGH', 0
-  union all select 10, 'Bank↔Settlement Consistency', 'WARN', 'MEDIUM', count(*) from (
-         select abs(amount - net_amount) as d from t_bank_records b join t_settlements s
-           on s.settlement_id = b.settlement_id order by 1 desc limit 20) where d > 1
+  union all select 9, 'Settlement-Payment Consistency', 'FAIL', 'HIGH',
+         (select count(*) from t_settlement_payments where settlement_id not in
+           (select settlement_id from t_settlements))
+         + (select count(*) from t_settlement_payments where payment_id not in
+           (select payment_id from t_payments))
+         + (select count(*) from (select payment_id from t_settlement_payments group by 1
+           having count(distinct settlement_id) > 1))
+  union all select 10, 'Bank↔Settlement Consistency', 'WARN', 'MEDIUM', count(*)
+         from t_bank_records b join t_settlements s on s.settlement_id = b.settlement_id
+         where abs(amount - net_amount) > 1
   union all select 11, 'Invoice↔GST Consistency', 'WARN', 'MEDIUM', count(*)
          from t_invoices i join t_gst_records g on g.invoice_id = i.invoice_id
          where abs(i.total_tax - g.total_tax) > 0.01
   union all select 12, 'Payment↔Order Consistency', 'WARN', 'MEDIUM', count(*)
          from t_payments where order_id not in (select order_id from t_orders)
-  union all select 13, 'Refund Consistency', 'WARN', 'MEDIUM', 2 * count(*)
-         from t_refunds r join t_payments p using (payment_id) where r.refund_amount > p.amount),
+  union all select 13, 'Refund Consistency', 'WARN', 'MEDIUM',
+         (select count(*) from t_refunds r join t_payments p using (payment_id)
+           where r.refund_amount > p.amount)
+         + (select count(*) from (select payment_id, sum(refund_amount) as s from t_refunds
+           group by 1) join t_payments using (payment_id) where s > amount)
+  union all select 2, 'Row Counts', 'WARN', 'MEDIUM', count(*) filter (lost > 0)
+         from ({DRIFT_SQL})
+  union all select 14, 'Duplicate Detection', 'INFO', 'LOW', sum(duplicates)
+         from ({SOURCE_DUPLICATES_SQL})
+  union all select 15, 'Lineage Check', 'WARN', 'MEDIUM', count(*) filter (status = 'WARN')
+         from ({COVERAGE_SQL})
+  union all select 16, 'Normalization Source Map', 'WARN', 'LOW', 0 from events having count(*) > 0
+  union all select 17, 'Quarantine Check', 'WARN', 'LOW', 0 from events having count(*) > 0
+  union all select 18, 'GT: event_links→payments', 'WARN', 'MEDIUM', count(distinct target_id)
+         from ({EDGES_SQL}) where target_type = 'payment'
+         and target_id not in (select payment_id from t_payments)),
 r as (select num, name, case when n > 0 then bad else 'PASS' end as status,
              cast(n as bigint) as failure_count,
              case when n > 0 then grave else 'INFO' end as severity from f)
 """
 
 
+def _whole_report(fx):
+    from ledgerloom.plans.queries_ingest import _batch
+
+    origin = audit.provenance(_drift(fx), _lineage_tables(fx), _seen(fx), _batch(fx).quarantine,
+                              derive.truth_edges(fx.all()), fx.payments)
+    return audit.report(fx.all(), origin)
+
+
 @query("audit_report", REPORT_SQL + "select * from r")
 def audit_report(fx):
-    return audit.report(fx.all()).drop("notes")
+    return _whole_report(fx).drop("notes")
 
 
 @query("audit_verdict", REPORT_SQL + """
@@ -338,6 +390,6 @@ select count(*) as checks, count(*) filter (status = 'PASS') as passed,
             then 'READY' else 'NOT READY' end as verdict
 from r""")
 def audit_verdict(fx):
-    return audit.final_verdict(audit.report(fx.all()))
+    return audit.final_verdict(_whole_report(fx))
 
 
