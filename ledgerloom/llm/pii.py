@@ -135,6 +135,8 @@ def features(words: list[str], i: int, j: int) -> tuple[str, ...]:
         found.append("spelt_ip")
     if re.search(r"\S(?:\[at\]|\(at\)|\{at\})\S", text, re.I) and j - i == 1:
         found.append("glued_email")
+    if j < len(words) and (_AT.match(words[j]) or _DOT.match(words[j])):
+        found.append("goes_on")
     before = words[i - 1].lower().strip(_EDGES + "()") if i else ""
     for kind, hints in _HINTS.items():
         if before in hints:
@@ -218,7 +220,7 @@ def made_islands(draw: random.Random, number: int):
                 return draw.choice("/. ").join(d[k:k + 4] for k in range(0, 16, 4))
 
     forms = {
-        "email": [lambda: f"{word()} at {word()} dot {word()}", lambda: f"{word()} [at] {word()} [dot] {word()}",
+        "email": [lambda: f"{word()} at {word()} dot {word()}", lambda: f"{word()} at {word()} dot {word()} dot {word()}", lambda: f"{word()} [at] {word()} [dot] {word()}",
                   lambda: f"{word()}{digits(2)} (at) {word()} dot {word()} dot {word()}",
                   lambda: f"{word()}[at]{word()}.{word()}"],
         "phone": [lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}",

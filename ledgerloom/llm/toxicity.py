@@ -53,7 +53,7 @@ READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g
 # a longer one.
 SIGN, STAR, READ_OUT, LEFT_OUT, LETTER_OUT, TWICE_OUT, RUN_OUT = 0.5, 2.0, 5.0, 0.3, 12.0, 6.0, 0.8
 
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}[.,;:!?]*(?!\S)")
 _SIGN_RUN = re.compile(r"([^\w\s])\1{2,}")
 _TWICE = re.compile(r"([a-z])\1\1|([a-z])\2.*?([a-z])\3")
 _EDGE = ".,;:?!\"'()[]{}|-_=#%&*~`^/\\"
