@@ -311,8 +311,9 @@ def test_neighbours(spark):
     assert neighbours(table.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
-def labelled_table(spark, held):
-    folder = "/root/testdata/sf0.01"
+def labelled_table(spark, name):
+    # A fold of the smaller table holds a dozen toxic rows: too few to measure with.
+    folder = "/root/testdata/sf0.01" if name == "quality" else "/root/testdata/sf0.1"
     return spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
 
 
@@ -321,7 +322,7 @@ def test_classifiers(spark, name, column, parts, held):
     import importlib
 
     run = getattr(importlib.import_module(f"ledgerloom.llm.{name}"), name)
-    docs, labels = labelled_table(spark, held)
+    docs, labels = labelled_table(spark, name)
     out = run(docs, labels).toPandas()
     assert len(out) == docs.count() and out.score.between(0, 1).all()
     assert all((zlib.crc32(str(i).encode()) % parts == held) == h for i, h in zip(out.doc_id, out.held_out))
@@ -331,7 +332,7 @@ def test_classifiers(spark, name, column, parts, held):
     truth = mark[test.doc_id].to_numpy()
     good, bad = test.score[truth == 1], test.score[truth == 0]
     auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
-    assert auc > (0.9 if name == "quality" else 0.8)
+    assert auc > 0.9
     # Labels of held-out rows change nothing.
     flipped = labels.withColumn(column, F.when(
         F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == held, 1 - F.col(column)).otherwise(F.col(column)))
