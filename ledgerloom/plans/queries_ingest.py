@@ -111,6 +111,68 @@ def csv_round_trip(fx):
         "note", F.md5("note"))
 
 
+@query("csv_delimiter_detected", """
+select row_number, bank_record_id, amount, currency from (
+  select row_number, trim(bank_record_id) as bank_record_id, amount,
+         case when currency = '' then null else currency end as currency from t_raw_bank)""")
+def csv_delimiter_detected(fx):
+    """The raw feed written with semicolons and scanned with the delimiter its head shows."""
+    path = staging_path(fx.spark, "csv")
+    fx.raw_bank.select("row_number", "bank_record_id", "amount", "currency").write.option(
+        "header", True).option("sep", ";").option("emptyValue", "").csv(path)
+    rows = files.read_csv(fx.spark, path, sep=files.detect_delimiter(fx.spark, path),
+                          required=["bank_record_id", "amount"])
+    return rows.withColumn("row_number", F.col("row_number").cast("bigint"))
+
+
+@query("rebuilt_tables", """
+select 'merchants' as table_name, count(*) as row_count from t_merchants
+union all select 'orders', count(*) from t_orders
+union all select 'payments', count(*) from t_payments""")
+def rebuilt_tables(fx):
+    """Tables replaced twice in the shared folder, then counted."""
+    path = staging_path(fx.spark, "rebuilt")
+    held = {"merchants": fx.merchants, "orders": fx.orders, "payments": fx.payments}
+    for _ in range(2):
+        tables.rebuild(held, path)
+    return tables.row_counts({name: fx.spark.read.parquet(f"{path}/{name}") for name in held})
+
+
+@query("exported_splits", """
+select split, count(*) as features, count(*) as traced, round(sum(cast(amount as double)), 2) as total
+from (select amount, case status when 'CAPTURED' then 'train' else 'test' end as split
+      from t_payments) group by 1""")
+def exported_splits(fx):
+    """Payments split by status, exported as CSV and read again."""
+    path = staging_path(fx.spark, "splits")
+    split = F.when(F.col("status") == "CAPTURED", "train").otherwise("test")
+    rows = fx.payments.select(split.alias("split"), "payment_id", "amount")
+    tables.export_splits(rows, ["amount"], ["payment_id"], path)
+    read = fx.spark.read.option("header", True)
+    out = read.csv(f"{path}/splits").groupBy("split").agg(
+        F.count("amount").alias("features"), F.round(F.sum(F.col("amount").cast("double")), 2)
+        .alias("total"))
+    traced = read.csv(f"{path}/trace").groupBy("split").agg(F.count("payment_id").alias("traced"))
+    return out.join(traced, "split")
+
+
+@query("listed_files", """
+select 'csv' as kind, cast(count(*) > 0 as bigint) as any_file, 0 as problems from documents
+union all select 'txt', cast(count(*) > 0 as bigint), 0 from documents""")
+def listed_files(fx):
+    """Files written from documents, listed with what is wrong with them."""
+    out = []
+    for kind in ("csv", "txt"):
+        path = staging_path(fx.spark, f"list-{kind}")
+        ids = fx.raw("documents").select(F.col("doc_id").cast("string").alias("value"))
+        (ids.write.csv if kind == "csv" else ids.write.text)(path)
+        found = files.list_files(fx.spark, path, [f".{kind}"])
+        out.append(found.agg(
+            F.lit(kind).alias("kind"), (F.count(F.lit(1)) > 0).alias("any_file"),
+            F.count("problem").alias("problems")))
+    return out[0].unionByName(out[1])
+
+
 @query("document_admission", """
 select doc_id, name from (
   select doc_id, text, case doc_id % 6 when 0 then 'guide.md' when 1 then 'notes.txt'

@@ -410,6 +410,16 @@ def pair_base_features(fx):
     return _whole_menu_features(fx).select(*PAIR_COLUMNS)
 
 
+@query("id_in_description_flags", """
+select bank_record_id, target_id,
+       cast(coalesce(contains(upper(description), upper(target_id)), false) as bigint) as named
+from t_pairs""", {**MENU_SQL, **FEATURE_SQL})
+def id_in_description_flags(fx):
+    pairs = _pairs(fx).filter(F.col("settlement_id").isNotNull())
+    return pairs.select("bank_record_id", F.col("settlement_id").alias("target_id"),
+                        F.coalesce(features.id_in_description(pairs), F.lit(0)).alias("named"))
+
+
 @query("candidate_context_features", """
 select bank_record_id, target_id, candidate_count, candidate_rank_by_amount,
        candidate_rank_by_date, candidate_rank_by_reference,
