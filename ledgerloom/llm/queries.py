@@ -117,3 +117,22 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerloom.llm.license_scan import license_scan
 
     return license_scan(read(spark, folder, "documents"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLES["op7_ngram_jaccard_join"] = rf"""
+with recursive d as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                             '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) end) as sh
+      from d),
+n as (select doc_id, count(*) as n from s group by 1),
+met as (select a.doc_id as x, b.doc_id as y, count(*) as both_n
+        from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
+links as (select x, y from met join n p on p.doc_id = x join n q on q.doc_id = y
+          where 100 * both_n >= 80 * (p.n + q.n - both_n)),
+reach as (select doc_id, doc_id as r from d union select reach.doc_id, y from reach join links on r = x)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, least_id as component_id
+from d left join n using (doc_id) join (select doc_id, min(r) as least_id from reach group by 1) using (doc_id)
+"""
