@@ -402,7 +402,7 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed} == set(right)
 
 
-@pytest.mark.parametrize("name", ["op5_exact_dedup", "op10_substring_dedup"])
+@pytest.mark.parametrize("name", ["op5_exact_dedup", "op7_ngram_jaccard_join", "op10_substring_dedup"])
 def test_query_equals_sql(spark, name):
     import duckdb
     from crosscheck import TABLES, rows_of
