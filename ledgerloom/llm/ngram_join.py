@@ -72,7 +72,7 @@ def frequent_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
     ``FREQUENT`` bounds the list, whatever the data."""
     def repeats(batches):
         for batch in batches:
-            for _, texts in blocks(batch.column(0), 16_000_000):
+            for _, texts in blocks(batch.column(0), 6_000_000):
                 token = np.concatenate([shingles(part, width)[1] for _, part in blocks(texts, 1_000_000)])
                 token, count = np.unique(token, return_counts=True)
                 often = count > 1
@@ -238,21 +238,22 @@ def class_labels(found: DataFrame, rows: DataFrame, width: int, percent: int, se
         now = settled(now.join(mixed, "bucket"), "mixed-buckets")
         if not now.head(1):
             continue
+        counted = now.groupBy("bucket", "label").agg(F.count("*").alias("_n"))
+        largest = settled(counted.groupBy("bucket").agg(
+            F.max_by("label", F.struct("_n", F.xxhash64("label", F.lit(turn)))).alias("_main")), "largest-components")
+        placed = now.join(largest, "bucket")
+        outside = placed.where("label <> _main")
         if turn < rounds:
-            # Each member meets one drawn member of each of its buckets; the nearest stays.
+            # Each member outside the largest component of a bucket meets one drawn
+            # member of that component; of all it meets, the nearest stays.
             order = F.xxhash64("bucket", "class", F.lit(turn))
-            drawn = now.groupBy("bucket").agg(F.min_by(F.struct("class", "label"), order).alias("p"))
-            drawn = drawn.select("bucket", F.col("p.class").alias("class2"), F.col("p.label").alias("label2"))
-            met = now.join(drawn, "bucket").where("label <> label2").select("class", "class2", "size", *BITS).distinct()
+            drawn = placed.where("label = _main").groupBy("bucket").agg(F.min_by("class", order).alias("class2"))
+            met = outside.join(drawn, "bucket").select("class", "class2", "size", *BITS).distinct()
             met = met.join(nodes.select(*other), "class2").where(condition)
             pairs = met.withColumn("_d", apart).groupBy("class").agg(F.min_by("class2", F.struct("_d", "class2")).alias("b"))
             pairs = pairs.select(F.col("class").alias("a"), "b")
         else:
-            counted = now.groupBy("bucket", "label").agg(F.count("*").alias("_n"))
-            largest = counted.groupBy("bucket").agg(F.max_by("label", F.struct("_n", "label")).alias("_main"))
-            largest = settled(largest, "largest-components")
-            outside = now.join(largest, "bucket").where("label <> _main")
-            across = now.join(largest, "bucket").select("bucket", F.col("label").alias("label2"), F.col("_main").alias("_main2"), *other)
+            across = placed.select("bucket", F.col("label").alias("label2"), F.col("_main").alias("_main2"), *other)
             met = outside.join(across, "bucket").where(
                 (F.col("label") != F.col("label2")) & condition
                 & ((F.col("label2") == F.col("_main2")) | (F.col("class") < F.col("class2"))))
