@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -89,17 +89,18 @@ def dossier_rows(parts: dict[str, tuple[DataFrame, str]], key: str) -> DataFrame
         for name, (df, part_id) in parts.items()])
 
 
-def nested_dossiers(rows: DataFrame, key: str, most: int = 1000) -> DataFrame:
-    """One row per record with its parts as arrays.
+def nested_dossiers(rows: DataFrame, key: str, page_size: int = 1000) -> DataFrame:
+    """One row per record and page of parts, all parts of the record over its pages.
 
-    A record with more than ``most`` parts is not gathered: it keeps its counts
-    and is marked, and its parts are read from the long rows.
+    A page is an array of at most ``page_size`` parts in (part, part_id) order, so a
+    record with any number of children is complete without one unbounded array.
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("part_count"))
-    small = rows.join(sizes.filter(F.col("part_count") <= most).select(key), key, "left_semi")
-    lists = small.groupBy(key).agg(F.sort_array(F.collect_list(
+    order = Window.partitionBy(key).orderBy("part", "part_id")
+    placed = rows.withColumn("page", F.floor((F.row_number().over(order) - 1) / page_size))
+    pages = placed.groupBy(key, "page").agg(F.sort_array(F.collect_list(
         F.struct("part", "part_id", "record"))).alias("parts"))
-    return sizes.join(lists, key, "left").withColumn("oversize", F.col("part_count") > most)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("part_count"))
+    return pages.join(counts, key)
 
 
 def payment_dossier(t: dict[str, DataFrame]) -> DataFrame:

@@ -116,13 +116,16 @@ def payment_dossiers(fx):
 
 
 @query("payment_dossiers_nested", f"""
-select payment_id, count(*) as part_count, 0 as oversize,
+select payment_id, page, min(part_count) as part_count,
        string_agg(part || ':' || part_id, ',' order by part, part_id) as parts
-from ({PAYMENT_PARTS}) group by 1""")
+from (select *, count(*) over (partition by payment_id) as part_count,
+             (row_number() over (partition by payment_id order by part, part_id) - 1) // 2 as page
+      from ({PAYMENT_PARTS})) group by 1, 2""")
 def payment_dossiers_nested(fx):
-    nested = reports.nested_dossiers(reports.payment_dossier(fx.all()), "payment_id")
+    """Pages of two parts, so that most payments have several."""
+    nested = reports.nested_dossiers(reports.payment_dossier(fx.all()), "payment_id", page_size=2)
     named = F.transform("parts", lambda p: F.concat(p["part"], F.lit(":"), p["part_id"]))
-    return nested.select("payment_id", "part_count", "oversize",
+    return nested.select("payment_id", "page", "part_count",
                          F.array_join(named, ",").alias("parts"))
 
 
