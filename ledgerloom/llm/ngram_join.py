@@ -79,8 +79,17 @@ def frequent_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(token[often].view(np.int64)), pa.array(count[often])], ["token", "n"])
 
-    top = (rows.select("text").mapInArrow(repeats, "token long, n long").groupBy("token")
-           .agg(F.sum("n").alias("n")).where("n >= 16").orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas())
+    counts = settled(rows.select("text").mapInArrow(repeats, "token long, n long").groupBy("token")
+                     .agg(F.sum("n").alias("n")).where("n >= 16"), "repeated-shingles")
+    # Whole levels of frequency, from the highest down, as many as the bound allows.
+    level = F.floor(8 * F.log2("n"))
+    least, held = None, 0
+    for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # a few hundred
+        held += row["count"]
+        if held > FREQUENT:
+            break
+        least = row["level"]
+    top = counts.where(level >= least if least is not None else F.lit(False)).toPandas()
     token = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     return token[order], top["n"].to_numpy(np.int64)[order]

@@ -7,8 +7,8 @@ better one shrinks it says how repetitive it is. A logistic curve, fitted on lab
 rows that built no dictionary, turns them into a score.
 
 The bound on fitting: at most ``labelled.LABELLED_ROWS`` labelled rows are used, of
-which the dictionaries see at most ``DICTIONARY_ROWS`` of each class and the curve
-at most ``CURVE_ROWS`` of each class, drawn by a hash of the text. Every text is
+which the dictionaries see about ``DICTIONARY_ROWS`` different texts of each class and
+the curve about ``CURVE_ROWS``, drawn by a hash of the text. Every text is
 scored over its whole length.
 
 Defined results: a null or empty text has difference 0 and gets the curve's value
@@ -71,10 +71,11 @@ def fit(train: DataFrame) -> tuple[bytes, bytes, np.ndarray]:
     for label in (0, 1):
         one = drawn.where(F.col("label") == label)
         totals[label] = one.count()
-        keys = one.select("_h").orderBy("_h").limit(DICTIONARY_ROWS + CURVE_ROWS)
-        top = keys.agg(F.max("_h")).first()[0]
-        texts = [r["text"] for r in one.where(F.col("_h") <= F.lit(top)).orderBy("_h", "text")
-                 .limit(DICTIONARY_ROWS + CURVE_ROWS).select("text").toLocalIterator()] if totals[label] else []
+        # A share of the hashes that holds about as many texts as are wanted; copies
+        # share a hash and count once.
+        share = int(min(1.0, (DICTIONARY_ROWS + CURVE_ROWS) / max(totals[label], 1)) * 2**31)
+        some = one.where(F.pmod("_h", F.lit(2**31)) < share).dropDuplicates(["_h"])
+        texts = [r["text"] for r in sorted(some.collect(), key=lambda r: r["_h"])]
         cut = min(DICTIONARY_ROWS, len(texts) // 2)
         builders[label], rest[label] = texts[:cut], texts[cut:]
     good, bad = dictionary(blocks_of(builders[1])), dictionary(blocks_of(builders[0]))
