@@ -3,9 +3,10 @@
 The patterns (email, ip, card, phone) are what they are; their matches always stay.
 The field adds spans that the patterns miss, such as addresses spelt out or numbers
 written without a plus sign. It works on islands: runs of words that hold a digit,
-an at sign or a spelling cue, with a word on either side. Every segment of up to
-``LONGEST`` words of an island is a candidate with features of the whole span; a
-dynamic program over segments finds the best joint choice of boundaries and types.
+an at sign or a spelling cue (also in brackets inside a word, as in john[at]site.com),
+with a word on either side. Every segment of up to ``LONGEST`` words of an island, and
+every whole address spelt in more words, is a candidate with features of the whole
+span; a dynamic program over segments finds the best joint choice of boundaries and types.
 Spans it adds carry the type with ``_like`` behind it, so counts of the four
 pattern types mean the patterns.
 
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 KINDS = ("email", "ip", "card", "phone")
 LIKE = tuple(k + "_like" for k in KINDS)
 ORDER = {k: i for i, k in enumerate(KINDS + LIKE)}
-LONGEST = 8  # words of a candidate segment
+LONGEST = 8  # words of a candidate segment; an address spelt in more is one as a whole
 
 # ------------------------------------------------------------------ patterns
 # Equal to the plain patterns, written so that no text takes more than linear time.
@@ -89,16 +90,30 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # ------------------------------------------------------------- the random field
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_CUE = re.compile(r"[0-9@]|^[\[({<]?(?:at|dot)[\])}>]?$", re.I)
+_CUE = re.compile(r"[0-9@]|^[\[({<]?(?:at|dot)[\])}>]?$|[\[({<](?:at|dot)[\])}>]", re.I)
 _AT = re.compile(r"^[\[({<]?at[\])}>]?$", re.I)
 _DOT = re.compile(r"^[\[({<]?dot[\])}>]?$", re.I)
+_HIDDEN = re.compile(r"([\[({<](?:at|dot)[\])}>])", re.I)
 _EDGES = "\"'.,;:!?<>[]{}|*&%$#"
+# Shapes of spelt addresses; a chain of parts is met once, from its first part.
+_SPELT = re.compile(r"[wn](?:\.[wn])*@[wn](?:\.[wn])*\.w")
+_CHAIN = re.compile(r"(?<!\.)[wn](?:\.[wn])*+@[wn](?:\.[wn])*\.w")
+_TO_SITE = re.compile(r"[wn](?:\.[wn])*@w")
+_SITE = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _NUMBER = re.compile(r"^[(+]?[0-9][0-9().+\-/]*$")
 _HINTS = {"email": ("mail", "email", "e-mail", "contact"), "ip": ("ip", "host", "server", "address"),
           "card": ("card", "visa", "credit", "iban"), "phone": ("tel", "phone", "call", "fax", "mobile")}
 
 
-def features(words: list[str], i: int, j: int) -> tuple[str, ...]:
+def shape_of(word: str) -> str:
+    """n for a number, w for any other word, @ and . for their spellings; a word with
+    spellings in brackets inside has one letter for each of its parts."""
+    parts = [p for p in _HIDDEN.split(word) if p] if _HIDDEN.search(word) else [word]
+    return "".join("n" if _NUMBER.match(w.strip(_EDGES)) else "@" if _AT.match(w) else "." if _DOT.match(w)
+                   else "w" for w in parts if len(parts) == 1 or w.strip(_EDGES + "()"))
+
+
+def features(words: list[str], i: int, j: int, shapes: list[str]) -> tuple[str, ...]:
     """Names of the features of the segment of words i to j, as a whole."""
     span = words[i:j]
     text = " ".join(span).strip(_EDGES)
@@ -106,11 +121,13 @@ def features(words: list[str], i: int, j: int) -> tuple[str, ...]:
     found = [f"words{min(j - i, 4)}"]
     if span[0] != span[0].lstrip(_EDGES + "()") and not span[0].startswith("("):
         found.append("edge")
-    kinds = ["n" if _NUMBER.match(w.strip(_EDGES)) else "@" if _AT.match(w) else "." if _DOT.match(w)
-             else "w" for w in span]
-    shape = "".join(kinds)
-    if re.fullmatch(r"w@w(?:\.w)+", shape) and all(w.strip(_EDGES).isascii() for w in span):
+    shape = "".join(shapes[i:j])
+    site = _TO_SITE.fullmatch(shape) and _HIDDEN.search(text) and _SITE.fullmatch(
+        _HIDDEN.split(text)[-1].strip(" ()" + _EDGES))
+    if (site or _SPELT.fullmatch(shape)) and text.isascii():
         found.append("spelt_email")
+        if j - i == 1:
+            found.append("glued_email")
     elif "@" in shape or "." in shape:
         found.append("cue_inside")
     if "w" in shape and "@" not in shape:
@@ -133,10 +150,10 @@ def features(words: list[str], i: int, j: int) -> tuple[str, ...]:
             found.append("many_digits")
     if digits and re.fullmatch(r"[0-9]{1,3}(?:\s?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))\s?[0-9]{1,3}){3}", text, re.I):
         found.append("spelt_ip")
-    if re.search(r"\S(?:\[at\]|\(at\)|\{at\})\S", text, re.I) and j - i == 1:
-        found.append("glued_email")
-    if j < len(words) and (_AT.match(words[j]) or _DOT.match(words[j])):
+    if j < len(words) and shapes[j][:1] in ("@", "."):
         found.append("goes_on")
+    if i and shapes[i - 1][-1:] in ("@", "."):
+        found.append("began_before")
     before = words[i - 1].lower().strip(_EDGES + "()") if i else ""
     for kind, hints in _HINTS.items():
         if before in hints:
@@ -147,10 +164,16 @@ def features(words: list[str], i: int, j: int) -> tuple[str, ...]:
 def segments(words: list[str]):
     """(i, j, features) of every candidate; those of plain words alone are left out."""
     cued = [bool(_CUE.search(w)) for w in words]
+    shapes = [shape_of(w) for w in words]
     for i in range(len(words)):
         for j in range(i + 1, min(len(words), i + LONGEST) + 1):
             if any(cued[i:j]):
-                yield i, j, features(words, i, j)
+                yield i, j, features(words, i, j, shapes)
+    owner = [k for k, shape in enumerate(shapes) for _ in shape]
+    for m in _CHAIN.finditer("".join(shapes)):
+        i, j = owner[m.start()], owner[m.end() - 1] + 1
+        if j - i > LONGEST:
+            yield i, j, features(words, i, j, shapes)
 
 
 def value(weights: dict, kind: str, names: tuple[str, ...]) -> float:
@@ -222,7 +245,11 @@ def made_islands(draw: random.Random, number: int):
     forms = {
         "email": [lambda: f"{word()} at {word()} dot {word()}", lambda: f"{word()} at {word()} dot {word()} dot {word()}", lambda: f"{word()} [at] {word()} [dot] {word()}",
                   lambda: f"{word()}{digits(2)} (at) {word()} dot {word()} dot {word()}",
-                  lambda: f"{word()}[at]{word()}.{word()}"],
+                  lambda: f"{word()}[at]{word()}.{word()}",
+                  lambda: f"{word()}{opened}at{closed}{word()}{opened}dot{closed}{word()}",
+                  lambda: f"{word()} {opened}at{closed} {word()}.{word()}",
+                  lambda: f"{word()} dot {word()} at {word()} dot {word()}",
+                  lambda: f"{word()} at {' dot '.join(word() for _ in range(draw.randint(4, 7)))}"],
         "phone": [lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}",
                   lambda: f"{digits(3)}.{digits(3)}.{digits(4)}", lambda: f"00{digits(2)} {digits(3)} {digits(3)} {digits(3)}"],
         "card": [card],
@@ -231,12 +258,14 @@ def made_islands(draw: random.Random, number: int):
         "": [lambda: digits(draw.randint(1, 9)), lambda: f"{digits(4)}-{digits(2)}-{digits(2)}",
              lambda: f"{digits(2)}.{digits(2)}", lambda: f"{digits(10)}", lambda: f"{digits(16)}",
              lambda: f"{digits(2)} {word()} {digits(3)}", lambda: f"{word()} at {word()}",
-             lambda: f"dot {word()}", lambda: f"{digits(8)}{word()}{digits(8)}", lambda: f"{digits(12)}",
+             lambda: f"dot {word()}", lambda: f"{word()}[at]{word()}", lambda: f"{word()} dot {word()}",
+             lambda: f"{digits(8)}{word()}{digits(8)}", lambda: f"{digits(12)}",
              lambda: f"{digits(3)} {digits(3)} {digits(3)}", lambda: f"at {digits(2)} {word()}"],
     }
     for _ in range(number):
         kind = draw.choice(list(KINDS) + ["", "", ""])
         hint = [draw.choice(_HINTS[kind])] if kind and draw.random() < 0.3 else []
+        opened, closed = draw.choice(("[]", "()", "{}"))
         head, body = [word() for _ in range(draw.randint(0, 2))] + hint, draw.choice(forms[kind])().split()
         tail = [word() for _ in range(draw.randint(0, 2))]
         if draw.random() < 0.3:
@@ -279,14 +308,14 @@ def added_spans(text: str, base: list[tuple[int, int, str]], weights: dict) -> l
             last = cued[k]
         k += 1
         low, high = max(0, first - 2), min(len(words), last + 3)
-        if last == first and len(words[first]) <= 4:
+        if last == first and len(words[first]) <= 4 and not _HIDDEN.search(words[first]):
             continue  # a lone short number or cue holds no candidate of any type
         island = words[low:high]
         for i, j, kind in decode(island, weights):
             a, b = places[low + i][0], places[low + j - 1][1]
-            piece = text[a:b]
-            a += len(piece) - len(piece.lstrip(_EDGES))
-            b -= len(piece) - len(piece.rstrip(_EDGES))
+            piece, edges = text[a:b], _EDGES + "()" if kind == "email" else _EDGES
+            a += len(piece) - len(piece.lstrip(edges))
+            b -= len(piece) - len(piece.rstrip(edges))
             if a < b and not any(s < b and a < e for s, e, _ in base):
                 out.append((a, b, kind + "_like"))
     return out

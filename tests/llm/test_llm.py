@@ -282,6 +282,31 @@ def test_pii_field_generalises():
     assert right / (right + missed) > 0.9 and right / (right + wrong) > 0.9
 
 
+def test_pii_every_written_form():
+    """Each form of a hidden address is found and spans the whole of it."""
+    from ledgerloom.llm import pii
+
+    weights, draw = pii.trained(), random.Random(5)
+    word = lambda: "".join(draw.choice("abdeghilmnorst") for _ in range(draw.randint(3, 8)))
+    forms = ["W[at]W.W", "W7[at]W.W", "W(at)W(dot)W", "W{at}W{dot}W", "W [at] W [dot] W", "W (at) W.W", "W at W dot W",
+             "W[at]W dot W", "W at W dot W dot W dot W dot W", "W dot W at W dot W", "W dot W dot W at W dot W dot W",
+             "W at " + " dot ".join("W" * 12)]
+    for form in forms:
+        found = 0
+        for _ in range(50):
+            address = re.sub("W", lambda _: word(), form)
+            text = f"{word()} {word()} {address}, {word()} {word()}"
+            start = text.index(address)
+            found += pii.added_spans(text, [], weights) == [(start, start + len(address), "email_like")]
+        assert found >= 45, (form, found)
+    text = "please write to john[at]site.com or (ann(at)mail(dot)org) now"
+    assert pii.masked(text, pii.spans_of(text, weights)[1]) == "please write to <email> or (<email>) now"
+    for plain in ("look at me", "we met at noon and dot notation", "x[at]y is an index", "a dot b dot c dot d"):
+        assert pii.spans_of(plain, weights) == ([], [])
+    long = "a dot " * 20_000 + "b"
+    assert pii.added_spans(long, [], weights) == []
+
+
 def test_neighbours(spark):
     from ledgerloom.llm.neighbours import neighbours
 
