@@ -1,10 +1,11 @@
 """Toxicity of deobfuscated text: a noisy-channel decoder, then a word score.
 
 1. A character trigram model is counted over all documents.
-2. Tokens that may hide a word (digits or signs among letters, letters repeated,
-   letters spaced out) become lattices: each character may stand for itself, for
-   the letters it is used for, or for nothing, at a price. Viterbi search under
-   the trigram model finds the cheapest reading.
+2. Tokens that may hide a word (any with a digit, a sign that reads as a letter or a
+   doubled letter, with letters or without, and characters spaced out by any white
+   space) become lattices: each character may stand for itself, for the letters it is
+   used for, or for nothing, at a price, and signs and gaps may be word edges. Viterbi
+   search under the trigram model finds the cheapest reading.
 3. Words and word beginnings of the restored text are hashed to buckets. Their
    weights are smoothed log-odds over all labelled rows that may be used, and a
    logistic curve over a text's strongest weights gives the score. A labelled
@@ -49,13 +50,13 @@ READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g
             "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c",
             "<": "c", "€": "e", "£": "l", "¢": "c", "¥": "y", "§": "s", "*": "aeiou"}
 # Prices in nats: of a letter written as a sign; of leaving out a sign that reads as a
-# letter, a sign that does not, a letter, the same letter as before in a run of two or
-# a longer one.
+# letter, a sign that does not (or stands as punctuation at the token's edge), a letter,
+# the same letter as before in a run of two or a longer one.
 SIGN, STAR, READ_OUT, LEFT_OUT, LETTER_OUT, TWICE_OUT, RUN_OUT = 0.5, 2.0, 5.0, 0.3, 12.0, 6.0, 0.8
 
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}[.,;:!?]*(?!\S)")
-_SIGN_RUN = re.compile(r"([^\w\s])\1{2,}")
-_TWICE = re.compile(r"([a-z])\1\1|([a-z])\2.*?([a-z])\3")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s++\S){2,}[.,;:!?]*(?!\S)")
+_TWICE = re.compile(r"([a-z])\1+")
+_READ = re.compile("[" + re.escape("".join(READINGS)) + "]")
 _EDGE = ".,;:?!\"'()[]{}|-_=#%&*~`^/\\"
 
 _CLASS = np.zeros(256, np.int64)
@@ -104,11 +105,15 @@ class Restorer:
     """Reads hidden words; what it has read is remembered up to a bound."""
 
     def __init__(self, costs: np.ndarray):
-        self.costs, self.kept = costs.ravel().tolist(), {}
+        self.costs, self.kept, self.decoded = costs.ravel().tolist(), {}, {}
 
-    def decode(self, token: str) -> str:
-        """The cheapest reading of a token's lattice."""
+    def decode(self, token: str, spaced: bool = False) -> str:
+        """The cheapest reading of a token's lattice, its words apart by blanks. A sign may
+        be a word edge; if ``spaced``, so may every gap between two characters."""
         costs = self.costs
+        # Marks at the edges are cheap to leave out.
+        first = len(token) - len(token.lstrip(_EDGE.replace("!", "")))
+        last = len(token.rstrip(_EDGE))
         # Beam of states: (symbol before last, last symbol) -> price, letters read.
         states = {(0, 0): (0.0, None)}
         for i, ch in enumerate(token):
@@ -121,7 +126,9 @@ class Restorer:
             else:
                 price = STAR if ch == "*" else SIGN
                 options = [(ord(x) - 96, x, price) for x in READINGS.get(ch, "")]
-                skip = READ_OUT if options else LEFT_OUT
+                skip = READ_OUT if options and first <= i < last else LEFT_OUT
+                if ch == "*" and skip == READ_OUT and token[i - 1:i] == ch:
+                    skip = RUN_OUT
             following: dict = {}
             for (a, b), (cost, read) in states.items():
                 best = following.get((a, b))
@@ -133,46 +140,82 @@ class Restorer:
                     best = following.get((b, code))
                     if best is None or total < best[0]:
                         following[b, code] = (total, (read, letter))
+                if b and ch != "*" and not ch.isalnum():
+                    self.edge(following, a, b, cost + LEFT_OUT, read)
+            if spaced and i + 1 < len(token):
+                for (a, b), (cost, read) in list(following.items()):
+                    if b:
+                        self.edge(following, a, b, cost, read)
             states = following
-        end = min((cost + costs[(a * SYMBOLS + b) * SYMBOLS], str(i), read)
+        # After an edge the word has ended, and its end is paid for; no word has no end to pay.
+        end = min((cost + (costs[(a * SYMBOLS + b) * SYMBOLS] if b else 0.0), str(i), read)
                   for i, ((a, b), (cost, read)) in enumerate(states.items()))[2]
         letters = []
         while end is not None:
             end, letter = end
             letters.append(letter)
-        return "".join(reversed(letters))
-
-    def word(self, token: str) -> str:
-        """The restored form of one token, perhaps empty."""
-        found = self.kept.get(token)
+        return "".join(reversed(letters)).strip()
+
+    def run(self, match) -> str:
+        """The cheapest number of letters of a run. In a token of letters each run's price
+        depends on the letters next to it alone, so runs are read one by one."""
+        costs, token, n = self.costs, match.string, len(match.group())
+        code = lambda ch: 0 if not ch else ord(ch) - 96 if "a" <= ch <= "z" else 27
+        u, x, v = code(token[:match.start()][-1:]), code(match.group(1)), code(token[match.end():match.end() + 1])
+        cost = lambda a, b, c: costs[(a * SYMBOLS + b) * SYMBOLS + c]
+        skip = RUN_OUT if n > 2 else TWICE_OUT
+        prices = [cost(u, x, v) + skip * (n - 1)]
+        prices += [cost(u, x, x) + cost(x, x, v) + (k - 2) * cost(x, x, x) + skip * (n - k) for k in range(2, n + 1)]
+        return match.group(1) * (prices.index(min(prices)) + 1)
+
+    def edge(self, following: dict, a: int, b: int, cost: float, read) -> None:
+        """Ends a word in the state (a, b)."""
+        total = cost + self.costs[(a * SYMBOLS + b) * SYMBOLS]
+        best = following.get((b, 0))
+        if best is None or total < best[0]:
+            following[b, 0] = (total, (read, " "))
+
+    def word(self, token: str, spaced: bool = False) -> str:
+        """The restored form of one token, perhaps empty or several words."""
+        found = None if spaced else self.kept.get(token)
         if found is None:
             core = token.strip(_EDGE) if not token.isalpha() else token
-            if not any(c.isalpha() for c in token):
+            reads = _READ.search(token)
+            if spaced and (core or reads):
+                return self.remembered(token, True)
+            elif not reads and not any(c.isalpha() for c in token):
                 found = ""
-            elif (core.isalpha() and not any(x in token for x in "*!|(")
-                  or core.isalpha() and token.rstrip(_EDGE) == core) and not _TWICE.search(core):
-                found = core
+            elif core.isalpha() and not reads:
+                found = _TWICE.sub(self.run, core)
             else:
-                found = self.decode(token)
+                return self.remembered(token)
             if len(token) <= 64:
                 if len(self.kept) > KEPT_WORDS:
                     self.kept.clear()
                 self.kept[token] = found
         return found
 
+    def remembered(self, token: str, spaced: bool = False) -> str:
+        """What ``decode`` gives. Readings are kept apart from plain words, which are
+        more and cheaper, so that these do not drive them out."""
+        found = self.decoded.get((token, spaced))
+        if found is None:
+            found = self.decode(token, spaced)
+            if len(token) <= 64:
+                if len(self.decoded) > KEPT_WORDS:
+                    self.decoded.clear()
+                self.decoded[token, spaced] = found
+        return found
+
     def words(self, text: str) -> set[str]:
         """Restored words of a whole text."""
         text = text.lower()
         if not text.isascii():
             text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
-        text = _SIGN_RUN.sub(" ", text)
         found = set(map(self.word, set(text.split())))
         for run in _SPACED.findall(text):
-            joined = "".join(run.split())
-            if any(c.isalpha() for c in joined):
-                found.add(self.word(joined))
-        found.discard("")
-        return found
+            found.add(self.word("".join(run.split()), True))
+        return {w for read in found for w in read.split()}
 
 
 def buckets(words: set[str]) -> np.ndarray:

@@ -383,6 +383,25 @@ def test_deobfuscation():
     assert {"idiot", "stupid", "locon"} <= found
 
 
+def test_deobfuscation_of_every_written_form():
+    from ledgerloom.llm import toxicity as tox
+
+    draw = random.Random(4)
+    words = WORDS + ["idiot", "stupid", "trash", "ass", "you", "are", "a", "letter"] * 8
+    raw = ("  " + " ".join(draw.choice(words) for _ in range(20_000)) + " ").encode()
+    c = tox._CLASS[np.frombuffer(raw, np.uint8)]
+    counts = np.bincount((c[:-2] * 28 + c[1:-1]) * 28 + c[2:], minlength=28**3).astype(float)
+    reader = tox.Restorer(tox.trigram_costs(counts))
+    for text, word in (("stuupid", "stupid"), ("idiiot", "idiot"), ("trrash", "trash"), ("455", "ass"), ("@$$", "ass"),
+                       ("4 5 5", "ass"), ("@ $ $", "ass"), ("id***t", "idiot"), ("you are a s t u p i d letter", "stupid"),
+                       ("i  d  i  o  t", "idiot"), ("i\nd\ni\no\nt", "idiot"), ("i\td i   d 1 o t", "idiot"),
+                       ("idiot!!!", "idiot"), ("***stupid***", "stupid"), ("stupid***", "stupid"), ("trash.***", "trash"), ("you-stupid-idiot", "stupid"), ("(trash", "trash")):
+        assert word in reader.words(text), (text, reader.words(text))
+    assert reader.words("letter ----- ===== *****") == {"letter"}
+    assert reader.words("kabar locon!") == {"kabar", "locon"}
+    assert "astupid" not in reader.words("you are a s t u p i d")
+
+
 def test_license_scan(spark):
     from ledgerloom.llm.license_scan import TEMPLATES, license_scan
 
