@@ -1,32 +1,32 @@
-"""License texts in documents: winnowed fingerprints find candidates, alignment confirms.
+"""License texts in documents: rare words of templates find candidates, alignment confirms.
 
-Templates are cut into runs of ``GRAM`` words; of every ``WINDOW`` neighbouring runs
-the one with the smallest hash is a fingerprint. An inverted index leads from
-fingerprints to places in templates; it is as small as the list of templates, which
-is a parameter. A document's own winnowed fingerprints that are in the index give
-(template, diagonal) candidates, and each candidate's words are aligned with the
-template within a band around the diagonal. A match reports the share of template
-words it covers and where it lies.
+A match covers at least a share of a template's words. So of any places in the template
+one more in number than a match may leave out, a match takes one: the places of its
+longest words are the anchors. An index leads from their words to places in templates;
+it is as small as the list of templates, which is a parameter. Every document word is
+looked up in it, and a template is a candidate if enough of its words are in the document
+at all; each (template, diagonal) of an anchor is then aligned within a band around the
+diagonal. A match reports the share of template words it covers and where it lies.
 
 Defined results: words are compared in lower case without punctuation at their
 edges; a null or empty text has no match; a text may match several templates and a
 template several times; of overlapping matches the one that matches more words
-stays (ties: earlier start, then template name); rows with null or repeated ids are
+stays (ties: larger coverage, earlier start, then template name); rows with null or repeated ids are
 rows like others; an empty table gives an empty result. Only the id and text columns
 are read. Spans are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GRAM, WINDOW, BAND, LEAST_COVERAGE = 3, 2, 6, 0.8
+BAND, LEAST_COVERAGE = 6, 0.8
 
 # Public notices, one name for each wording.
 TEMPLATES = {
@@ -54,6 +54,54 @@ TEMPLATES = {
         "without fee is hereby granted"),
     "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Apache notice": "Released under the Apache License.",
+    "BSD notice": "Released under the BSD License.",
+    "Apache-2.0 warranty": (
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+        "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or "
+        "implied. See the License for the specific language governing permissions and limitations under the License."),
+    "MIT condition": (
+        "The above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the Software."),
+    "MIT warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+        "EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER "
+        "IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE "
+        "USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    "BSD warranty": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+        "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+        "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+        "POSSIBILITY OF SUCH DAMAGE."),
+    "GPL-2.0 notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version."),
+    "GPL-3.0 header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version."),
+    "GPL-2.0 line": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL warranty": (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License "
+        "for more details."),
+    "LGPL notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation"),
+    "AGPL notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation"),
+    "CC-BY-SA-4.0 notice": (
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC0-1.0 notice": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
+        "this work."),
 }
 
 _WORD = re.compile(r"\S+")
@@ -65,17 +113,6 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
     return [(w, m.start(), m.end()) for m in _WORD.finditer(text) if (w := m.group().lower().strip(_EDGE))]
 
 
-def fingerprints(words: list[str], gram: int = GRAM, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Winnowed (hash, place); of equal smallest hashes in a window the last counts."""
-    hashes = [zlib.crc32(" ".join(words[i:i + gram]).encode()) for i in range(len(words) - gram + 1)]
-    picked = {}
-    for i in range(max(1, len(hashes) - window + 1) if hashes else 0):
-        some = range(i, min(i + window, len(hashes)))
-        best = min(some, key=lambda k: (hashes[k], -k))
-        picked[best] = hashes[best]
-    return [(h, i) for i, h in sorted(picked.items())]
-
-
 def align(template: list[str], text: list[str], shift: int, band: int) -> tuple[int, int, int]:
     """Best local alignment near the diagonal text place = template place + shift:
     matched words, first and end place in the text. A match adds two, a replaced,
@@ -99,35 +136,42 @@ def align(template: list[str], text: list[str], shift: int, band: int) -> tuple[
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], least: float):
+        self.least = least
         self.templates = {name: [w for w, _, _ in words_of(t)] for name, t in templates.items()}
-        self.index: dict[int, list[tuple[str, int]]] = {}
+        self.index: dict[str, list[tuple[str, int]]] = {}
         for name, words in self.templates.items():
-            for h, place in fingerprints(words):
-                self.index.setdefault(h, []).append((name, place))
+            spare = len(words) - max(1, math.ceil(least * len(words) - 1e-9))
+            for place in sorted(range(len(words)), key=lambda k: (-len(words[k]), k))[:spare + 1]:
+                self.index.setdefault(words[place], []).append((name, place))
 
-    def scan(self, text: str, least: float) -> list[tuple[str, float, int, int, int]]:
+    def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """template, coverage, matched words, start, end."""
-        words = words_of(text)
+        least, words = self.least, words_of(text)
         plain = [w for w, _, _ in words]
+        held = set(plain)
+        likely = {name for w in self.index.keys() & held for name, _ in self.index[w]}
+        likely = {name for name in likely
+                  if sum(w in held for w in self.templates[name]) >= least * len(self.templates[name])}
         shifts: dict[str, set[int]] = {}
-        for h, place in fingerprints(plain):
-            for name, at in self.index.get(h, ()):
-                shifts.setdefault(name, set()).add(place - at)
+        for place, w in enumerate(plain) if likely else ():
+            for name, at in self.index.get(w, ()):
+                if name in likely:
+                    shifts.setdefault(name, set()).add(place - at)
         found = []
         for name, places in shifts.items():
             template, last = self.templates[name], None
             for shift in sorted(places):
                 if last is not None and shift - last <= BAND // 2:
-                    continue  # the band of the last one holds this diagonal too
+                    continue  # the band of the last one holds this diagonal's band too
                 last = shift
-                hits, first, end = align(template, plain, shift, BAND)
+                hits, first, end = align(template, plain, shift, BAND + BAND // 2)
                 if hits >= least * len(template):
-                    found.append((-hits, words[first][1], name, words[end - 1][2], hits / len(template)))
+                    found.append((-hits, -hits / len(template), words[first][1], name, words[end - 1][2]))
         kept = []
-        for hits, start, name, end, coverage in sorted(found):
+        for hits, coverage, start, name, end in sorted(found):
             if not any(start < e and s < end for _, _, _, s, e in kept):
-                kept.append((name, coverage, -hits, start, end))
+                kept.append((name, -coverage, -hits, start, end))
         return sorted(kept, key=lambda k: k[3:])
 
 
@@ -135,7 +179,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per match: id, ``license``, ``coverage``, ``matched_words``, ``start``, ``end``."""
     templates = TEMPLATES if templates is None else templates
-    scanner = Scanner(templates)
+    scanner = Scanner(templates, least)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     names = [id_col, "license", "coverage", "matched_words", "start", "end"]
     schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType)] + [
@@ -146,7 +190,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
         for batch in batches:
             which, out = [], []
             for i, text in enumerate(batch.column(1)):
-                for match in scanner.scan(text.as_py() or "", least):
+                for match in scanner.scan(text.as_py() or ""):
                     which.append(i)
                     out.append(match)
             columns = list(zip(*out)) if out else [[]] * 5

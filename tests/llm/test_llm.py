@@ -420,6 +420,26 @@ def test_license_scan(spark):
     assert license_scan(frame(spark, [])).count() == 0
 
 
+def test_license_of_every_template_and_edit():
+    from ledgerloom.llm import license_scan as scan
+
+    scanner = scan.Scanner(scan.TEMPLATES, 0.8)
+    for name, template in scan.TEMPLATES.items():
+        assert [m[:2] for m in scanner.scan(f"kabar {template} locon")] == [(name, 1.0)]
+    draw = random.Random(6)
+    for text in ("Released under the terms of the MIT License", "Released under our MIT License"):
+        assert [m[0] for m in scanner.scan(f"kabar locon {text} locon")] == ["MIT notice"]
+    # Any edit that leaves four fifths of the words is found, wherever it is.
+    for trial in range(300):
+        template = " ".join(draw.choice(WORDS) + draw.choice(WORDS) for _ in range(draw.randint(5, 12)))
+        w = template.split()
+        for k in draw.sample(range(len(w)), len(w) // 5):
+            w[k] = "edited"
+        one = scan.Scanner({"t": template}, 0.8)
+        got = one.scan(" ".join([prose(draw, 30), *w, prose(draw, 30)]))
+        assert len(got) == 1 and got[0][1] >= 0.8, (template, w)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
