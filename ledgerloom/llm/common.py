@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import ledgerloom
 from ledgerloom.session import staging_path
 
 # Lists no longer than this may be broadcast; every use counts them first and
@@ -34,6 +37,27 @@ def shipped(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+_SENT: set[str] = set()
+
+
+def send_code(spark: SparkSession) -> None:
+    """Give the executors this package as one archive, once for each application, so
+    that they need no install of it. Modules are imported there as anywhere else."""
+    context = spark.sparkContext
+    if context.applicationId not in _SENT:
+        root = os.path.dirname(os.path.abspath(ledgerloom.__file__))
+        made = shutil.make_archive(os.path.join(context._temp_dir, "ledgerloom"), "zip",
+                                   os.path.dirname(root), os.path.basename(root))
+        context.addPyFile(made)
+        _SENT.add(context.applicationId)
+
+
+def arrow_rows(df: DataFrame, step: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand on the executors."""
+    send_code(df.sparkSession)
+    return df.mapInArrow(step, schema)
+
+
 def fresh(name: str, taken) -> str:
     """A column name that no column of ``taken`` has, in any case of letters."""
     lower = {c.lower() for c in taken}
