@@ -81,17 +81,25 @@ def derive_gst(invoices: DataFrame) -> DataFrame:
 
 
 def assign_batches(payments: DataFrame, size: int = 10) -> DataFrame:
-    """Captured payments numbered into consecutive batches per merchant in date order."""
+    """Captured payments numbered into consecutive batches per merchant in date order.
+
+    Batches of all merchants are counted through, merchant after merchant, so a
+    settlement has a number of its own however many a merchant has.
+    """
     captured = payments.filter(F.col("status") == "CAPTURED").select(
         "payment_id", "merchant_id", "payment_date", "amount")
-    placed = position(captured, ["merchant_id"], F.to_date("payment_date"),
-                      [F.col("payment_date"), F.col("payment_id")])
+    placed = position(captured, ["merchant_id"], [F.col("payment_date"), F.col("payment_id")])
     batch = F.floor((F.col("position") - 1) / size).cast("bigint")
-    number = id_number("merchant_id") * 1000000 + F.col("batch") + 1
+    held = captured.groupBy("merchant_id").agg(
+        F.ceil(F.count(F.lit(1)) / size).cast("bigint").alias("_held"))
+    through = running_sum(held, [], [id_number("merchant_id"), F.col("merchant_id")],
+                          F.col("_held"), "_through")
     return (
-        placed.withColumn("batch", batch)
-        .withColumn("settlement_id", padded("STL", number))
-        .drop("position")
+        placed.withColumn("batch", batch).drop("position")
+        .join(through, "merchant_id")
+        .withColumn("settlement_id", padded("STL", F.col("_through") - F.col("_held")
+                                            + F.col("batch") + 1))
+        .select("payment_id", "merchant_id", "payment_date", "amount", "batch", "settlement_id")
     )
 
 
@@ -121,7 +129,7 @@ def derive_settlements(batches: DataFrame, fees: DataFrame, refunds: DataFrame,
     number = id_number("settlement_id")
     reference = F.concat(
         F.lit("UTIB"),
-        F.lpad(((number % 1000000007) * 7919 % 10000000000000).cast("string"), 13, "0"),
+        F.lpad((number * 7919 % 10000000000000).cast("string"), 13, "0"),
     )
     return rows.select(
         "settlement_id", "merchant_id",
@@ -307,7 +315,7 @@ def running_balance(bank: DataFrame) -> DataFrame:
     signed = F.when(F.col("transaction_type") == "DEBIT", -F.col("amount")).otherwise(
         F.col("amount"))
     return running_sum(
-        bank, ["merchant_id"], F.col("transaction_date"),
+        bank, ["merchant_id"],
         [F.col("transaction_date").asc_nulls_first(), F.col("bank_record_id")],
         signed, "balance_after",
     )

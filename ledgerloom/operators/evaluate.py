@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.ordering import running_sum
+from ledgerloom.operators.ordering import running
 
 # Thresholds from 0.01 to 0.99 in equal steps.
 GRID_START, GRID_STEP, GRID_SIZE = 0.01, 0.005, 197
@@ -63,10 +63,8 @@ def _by_score(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Positives and negatives per distinct score, with those scoring higher."""
     groups = scored.groupBy(*keys, "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    bucket = F.floor(-F.col("score") * 1000)
-    order = [F.col("score").desc()]
-    up = running_sum(groups, keys, bucket, order, F.col("pos"), "pos_upto")
-    return running_sum(up, keys, bucket, order, F.col("neg"), "neg_upto")
+    return running(groups, keys, [F.col("score").desc()],
+                   {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")})
 
 
 def ranking_quality(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:

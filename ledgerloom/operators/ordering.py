@@ -1,8 +1,10 @@
 """Positions and running totals over groups of any size.
 
-A plain window over a hot key sorts the whole group in one task. Here a group
-is cut into buckets that follow the sort order (a day, say); each bucket is
-ranked on its own, and small per-bucket totals carry the offset across.
+A plain window over a hot key sorts the whole group in one task. Here rows are dealt by
+ranges of (key, order), whose ends Spark draws from a sample, so a range is about as
+long as any other however many rows one key, one day or one score has. Ranges are
+written once; each is summed on its own, and the totals of a key's earlier ranges are
+carried into its later ones.
 """
 
 from __future__ import annotations
@@ -10,55 +12,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_EARLIER = (Window.unboundedPreceding, -1)
-
-
-def _with_offsets(df: DataFrame, keys: list[str], bucket: Column, order: list, local: Column,
-                  part: Column, name: str) -> DataFrame:
-    cut = df.withColumn("_bucket", bucket)
-    groups = [*keys, "_bucket"]
-    here = Window.partitionBy(*groups).orderBy(*order)
-    before = Window.partitionBy(*keys).orderBy(F.col("_bucket").asc_nulls_first())
-    offsets = (
-        cut.groupBy(*groups).agg(part.alias("_part"))
-        .withColumn("_before", F.coalesce(F.sum("_part").over(before.rowsBetween(*_EARLIER)),
-                                          F.lit(0)))
-        .select(*[F.col(g).alias(f"_o_{g}") for g in groups], "_before")
-    )
+from ledgerloom.session import written
+
+RANGE = "_range"
+
+
+def ranged(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """``df``, stored, with the number of the range each row stands in; ranges follow
+    (key, order), so only the rows of one key that are equal in ``order`` cannot be split."""
+    cut = df.repartitionByRange(*[F.col(k) for k in keys], *order)
+    return written(cut.withColumn(RANGE, F.spark_partition_id()), "ranges")
+
+
+def running(df: DataFrame, keys: list[str], order: list, sums: dict[str, Column]) -> DataFrame:
+    """Sum of each of ``sums`` over the rows of a key up to and including each row;
+    ``order`` must be total."""
+    values = {f"_value_{name}": value for name, value in sums.items()}
+    cut = ranged(df.withColumns(values), keys, order)
+    groups = [*keys, RANGE]
+    totals = cut.groupBy(*groups).agg(*[F.sum(v).alias(v) for v in values])
+    ranges = Window.partitionBy(*keys).orderBy(RANGE)
+    earlier = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    # Only keys that run on into another range have anything to carry: each range but
+    # the first begins in the middle of one key at most, so there are fewer of these
+    # rows than ranges.
+    carried = totals.select(
+        *[F.col(g).alias(f"_o_{g}") for g in groups], F.row_number().over(ranges).alias("_nth"),
+        *[F.sum(v).over(earlier).alias(f"_before{v}") for v in values],
+    ).filter(F.col("_nth") > 1).drop("_nth")
     same = F.lit(True)
     for g in groups:
         same = same & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
-    ranked = cut.withColumn("_local", local.over(here))
-    return (
-        ranked.join(offsets, same, "inner")
-        .withColumn(name, F.col("_local") + F.col("_before"))
-        .select(*df.columns, name)
-    )
+    here = Window.partitionBy(*groups).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    local = cut.withColumns({v: F.sum(v).over(here) for v in values})
+    return local.join(F.broadcast(carried), same, "left").select(*df.columns, *[
+        (F.col(f"_value_{name}") + F.coalesce(F.col(f"_before_value_{name}"), F.lit(0)))
+        .alias(name) for name in sums])
 
 
-def position(df: DataFrame, keys: list[str], bucket: Column, order: list,
-             name: str = "position") -> DataFrame:
-    """1-based place of each row in its group; ``bucket`` must rise with ``order``."""
-    return _with_offsets(df, keys, bucket, order, F.row_number(), F.count(F.lit(1)), name)
+def position(df: DataFrame, keys: list[str], order: list, name: str = "position") -> DataFrame:
+    """1-based place of each row in its group."""
+    return running(df, keys, order, {name: F.lit(1).cast("bigint")})
 
 
-def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: list, value: Column,
+def running_sum(df: DataFrame, keys: list[str], order: list, value: Column,
                 name: str = "running") -> DataFrame:
     """Sum of ``value`` up to and including each row; ``order`` must be total."""
-    cut = df.withColumn("_value", value)
-    out = _with_offsets(cut, keys, bucket, order, _Framed(F.sum("_value")),
-                        F.sum("_value"), name)
-    return out.select(*df.columns, name)
-
-
-class _Framed:
-    """Aggregate evaluated over the rows up to the current one."""
-
-    def __init__(self, agg: Column):
-        self._agg = agg
-
-    def over(self, window) -> Column:
-        return self._agg.over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return running(df, keys, order, {name: value})
 
 
 def first_per_key(df: DataFrame, keys: list, order: Column) -> DataFrame:

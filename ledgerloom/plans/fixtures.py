@@ -228,7 +228,7 @@ class Fixtures:
             F.lit("SETTLEMENT").alias("category"),
         )
         other = self.settlements.filter(every(n, 5)).select(
-            padded("BNK", n + 500000).alias("bank_record_id"), "merchant_id",
+            padded("BNK", n + 500000000000).alias("bank_record_id"), "merchant_id",
             F.date_add(day, 1).alias("transaction_date"), F.date_add(day, 1).alias("value_date"),
             money(F.round(F.col("net_amount") * F.lit("0.25").cast("decimal(5,4)"), 2))
             .alias("amount"),

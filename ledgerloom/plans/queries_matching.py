@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom import vocab
-from ledgerloom.operators import candidates, cases, features, matching
+from ledgerloom.operators import candidates, cases, features, matching, rankjoin
 from ledgerloom.operators.derive import id_number
 from ledgerloom.plans.catalog import query
 
@@ -316,13 +316,13 @@ def _pairs(fx):
         fx.bank_records, candidates.candidate_menus(fx.bank_records, fx.settlements))
 
 
-def _open_pairs(fx):
-    """Menus of the records that the rules leave open."""
+def _open_bank(fx):
+    """Bank records that the rules leave open."""
     decided = candidates.resolve(candidates.reference_pairs(fx.bank_records, fx.settlements))
     open_ids = decided.filter(~F.col("resolved")).select(
         F.col("source_record_id").alias("bank_record_id"))
-    bank = fx.bank_records.join(open_ids, "bank_record_id", "left_semi")
-    return candidates.pair_with_menus(bank, candidates.candidate_menus(bank, fx.settlements))
+    return fx.stored("open_bank", lambda: fx.bank_records.join(
+        open_ids, "bank_record_id", "left_semi"))
 
 
 @query("bank_candidate_menu", "select bank_record_id, settlement_id from t_menu", MENU_SQL)
@@ -451,7 +451,7 @@ def candidate_context_features(fx):
 
 @query("ranked_bank_candidates")
 def ranked_bank_candidates(fx):
-    return features.align(cases.candidate_features(_open_pairs(fx)),
+    return features.align(cases.candidate_features(_open_bank(fx), fx.settlements),
                           ["bank_record_id", "target_id"])
 
 
@@ -569,7 +569,7 @@ def context_tolerances(fx):
 
 @query("fuzzy_tier_flags")
 def fuzzy_tier_flags(fx):
-    ranked = features.pair_features(candidates.rank_candidates(_open_pairs(fx)))
+    ranked = features.pair_features(rankjoin.nearest_candidates(_open_bank(fx), fx.settlements))
     flagged = matching.fuzzy_flags(ranked, F.col("description_token_overlap"))
     return flagged.select("bank_record_id", "target_id", "fuzzy_reference", "fuzzy_text",
                           "fuzzy_amount", "fuzzy_days", "fuzzy_passed")

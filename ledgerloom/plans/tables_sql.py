@@ -99,7 +99,7 @@ where status = 'CAPTURED' and n % 17 = 0"""
 
 TABLES["t_batches"] = f"""
 select payment_id, merchant_id, payment_date, amount, batch,
-       {pid('STL', '(mer * 1000000 + batch + 1)')} as settlement_id
+       {pid('STL', 'dense_rank() over (order by mer, merchant_id, batch)')} as settlement_id
 from (
   select payment_id, merchant_id, payment_date, amount, {num('merchant_id')} as mer,
          cast(floor((row_number() over (partition by merchant_id
@@ -112,7 +112,7 @@ select settlement_id, merchant_id, settlement_date, gross_amount, total_fees, to
        cast(gross_amount - total_fees - total_fee_tax - total_refunds
             + case when n % 37 = 0 then 1 else 0 end as {M}) as net_amount,
        'INR' as currency,
-       'UTIB' || lpad(cast((n % 1000000007) * 7919 % 10000000000000 as varchar), 13, '0') as utr,
+       'UTIB' || lpad(cast(n * 7919 % 10000000000000 as varchar), 13, '0') as utr,
        'SETTLED' as status, payment_count
 from (
   select settlement_id, b.merchant_id, {num('settlement_id')} as n,
@@ -151,7 +151,7 @@ select {pid('BNK', 'n')} as bank_record_id, merchant_id,
 from (select *, {num('settlement_id')} as n, cast(settlement_date as date) as d
       from t_settlements) where n % 17 <> 0
 union all
-select {pid('BNK', '(n + 500000)')}, merchant_id, d + 1, d + 1,
+select {pid('BNK', '(n + 500000000000)')}, merchant_id, d + 1, d + 1,
        cast(round(net_amount * 0.25, 2) as {M}), currency,
        case when n % 2 = 0 then 'DEBIT' else 'CREDIT' end, 'REF' || cast(n as varchar),
        'BANK CHARGES', null, case when n % 3 = 0 then null else 'CHARGES' end

@@ -57,9 +57,9 @@ def staging_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint, so a lost executor costs no recompute."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written below the shared folder and read again: later steps neither repeat its
+    work nor lose it with an executor."""
+    path = staging_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

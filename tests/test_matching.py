@@ -179,9 +179,8 @@ def test_positions_and_running_sums_match_one_window(spark):
     rows = [(i, "hot" if rng.random() < 0.6 else rng.choice("abc"), rng.randrange(40),
              rng.randrange(100)) for i in range(500)]
     df = spark.createDataFrame(rows, "id int, k string, t int, v int")
-    bucket = F.floor(F.col("t") / 7)
-    got = ordering.running_sum(ordering.position(df, ["k"], bucket, ["t", "id"]), ["k"], bucket,
-                               ["t", "id"], F.col("v")).collect()
+    placed = ordering.position(df, ["k"], [F.col("t"), F.col("id")])
+    got = ordering.running_sum(placed, ["k"], [F.col("t"), F.col("id")], F.col("v")).collect()
     for key in {r[1] for r in rows}:
         place = total = 0
         have = {r.id: (r.position, r.running) for r in got if r.k == key}

@@ -210,3 +210,45 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     assert clean.count() == 1 and str(clean.first().amount) == "5.00"
     bad = spark.read.parquet(f"{out}/quarantine").collect()
     assert [(r.error_type, r.raw_record) for r in bad] == [("PARSE_ERROR", "not json")]
+
+
+def test_hot_keys_fall_into_even_ranges(spark):
+    """One merchant, one day and one score: ranges stay about as long as each other."""
+    from ledgerloom.operators import evaluate, ordering
+
+    one_day = spark.range(40_000, numPartitions=4).select(
+        F.lit("MER_1").alias("k"), F.lit("2026-01-01").alias("day"), F.md5(F.col("id").cast("string")).alias("id"))
+    cut = ordering.ranged(one_day.repartition(4), ["k"], [F.col("day"), F.col("id")])
+    sizes = sorted(r["count"] for r in cut.groupBy(ordering.RANGE).count().collect())
+    assert len(sizes) > 1 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    placed = ordering.position(one_day, ["k"], [F.col("day"), F.col("id")])
+    ends = placed.agg(F.min("position"), F.max("position"), F.countDistinct("position")).first()
+    assert tuple(ends) == (1, 40_000, 40_000)
+    flat = spark.range(10_000).select(F.lit(0.5).alias("score"), (F.col("id") % 4 == 0).cast("int").alias("label"))
+    assert evaluate.ranking_quality(flat).first().roc_auc == 0.5
+
+
+def test_running_sums_keep_null_keys_and_descending_order(spark):
+    from ledgerloom.operators import ordering
+
+    rows = [(None, 3, 1), (None, 2, 5), ("a", 9, 7), ("a", 1, 2), ("a", 5, 4)]
+    df = spark.createDataFrame(rows, "k string, t int, v int")
+    got = ordering.running(df, ["k"], [F.col("t").desc()], {"upto": F.col("v"), "n": F.lit(1)}).collect()
+    assert sorted((str(r.k), r.t, r.upto, r.n) for r in got) == [
+        ("None", 2, 6, 2), ("None", 3, 1, 1), ("a", 1, 13, 3), ("a", 5, 11, 2), ("a", 9, 7, 1)]
+    assert ordering.position(df.limit(0), ["k"], [F.col("t")]).collect() == []
+
+
+def test_settlement_numbers_never_meet(spark):
+    """A merchant with over a million batches does not run into the next one's numbers."""
+    from ledgerloom.operators import derive
+
+    payments = spark.range(1_000_020).select(
+        F.concat(F.lit("PAY_"), F.col("id").cast("string")).alias("payment_id"),
+        F.when(F.col("id") < 1_000_010, "MER_000001").otherwise("MER_000002").alias("merchant_id"),
+        F.timestamp_seconds(F.col("id")).alias("payment_date"), F.lit("CAPTURED").alias("status"),
+        F.lit(1).cast("decimal(15,2)").alias("amount"))
+    got = derive.assign_batches(payments, size=1)
+    counts = got.agg(F.countDistinct("settlement_id"), F.countDistinct("merchant_id", "batch"),
+                     F.max("settlement_id")).first()
+    assert tuple(counts) == (1_000_020, 1_000_020, "STL_1000020")
