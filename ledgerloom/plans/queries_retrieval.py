@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import identifiers
 from ledgerloom.operators import cases, retrieval
 from ledgerloom.plans.catalog import query
+from ledgerloom.plans.fixtures import spread
 
 # Sentences become headings, so the structural rules have something to split on.
 _HEADED_SQL = "replace(text, '. ', '.' || chr(10) || '# ')"
@@ -22,7 +23,7 @@ where trim(content, chr(32) || chr(10) || chr(9) || chr(13)) <> ''""",
 
 def headed(fx):
     text = F.replace("text", F.lit(". "), F.lit(".\n# "))
-    return fx.raw("documents").select("doc_id", text.alias("text"))
+    return spread(fx.raw("documents").select("doc_id", text.alias("text")))
 
 
 def sections(fx):

@@ -257,3 +257,27 @@ def test_settlement_numbers_never_meet(spark):
     counts = got.agg(F.countDistinct("settlement_id"), F.countDistinct("merchant_id", "batch"),
                      F.max("settlement_id")).first()
     assert tuple(counts) == (1_000_020, 1_000_020, "STL_1000020")
+
+
+def test_keyword_search_equals_counting_every_section(spark):
+    import re
+
+    from ledgerloom import vocab
+    from ledgerloom.operators import retrieval
+
+    rng = random.Random(8)
+    parts = ["pay", "re", "fund", "set", "tle", "a", "in", "voice", "ledger", "x", "über"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))
+    docs = [(f"S{i:03d}", " ".join(word() for _ in range(rng.choice((0, 3, 8, 60))))) for i in range(300)]
+    docs += [("S900", docs[3][1]), ("S901", None), ("S902", "Refund, INVOICE; ledger.")]
+    asked = [(i, " ".join(word() for _ in range(rng.randint(1, 12)))) for i in range(25)]
+    asked += [(90, "the of a"), (91, ""), (92, "zzzz qqq"), (93, "x"), (94, "What is the refund invoice ledger?")]
+    got = retrieval.keyword_search(
+        spark.createDataFrame(asked, "question_id int, text string"),
+        spark.createDataFrame(docs, "section_id string, content string"), top_k=4)
+    want = []
+    for number, text in asked:
+        words = set(re.findall(r"\w+", text.lower())) - set(vocab.QUESTION_STOPWORDS)
+        scores = sorted((-sum(w in (content or "").lower() for w in words), sid) for sid, content in docs)
+        want += [(number, sid, -s) for s, sid in scores[:4] if s < 0 or not words]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
