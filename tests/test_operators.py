@@ -255,8 +255,8 @@ def test_settlement_numbers_never_meet(spark):
         F.lit(1).cast("decimal(15,2)").alias("amount"))
     got = derive.assign_batches(payments, size=1)
     counts = got.agg(F.countDistinct("settlement_id"), F.countDistinct("merchant_id", "batch"),
-                     F.max("settlement_id")).first()
-    assert tuple(counts) == (1_000_020, 1_000_020, "STL_1000020")
+                     F.max(derive.id_number("settlement_id"))).first()
+    assert tuple(counts) == (1_000_020, 1_000_020, 1_000_020)
 
 
 def test_keyword_search_equals_counting_every_section(spark):
