@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.chunks import ChunkCoder, blocks
+from ledgerloom.llm.common import arrow_rows, remembered
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -113,12 +114,13 @@ class Bpe:
         return b"".join([self.bytes_of[i] for i in ids])
 
 
-_CODERS: dict[int, tuple[Bpe, ChunkCoder]] = {}
+MEMORY = "bpe"
 
 
 def coder_of(content: bytes, pattern: str) -> tuple[Bpe, ChunkCoder]:
     key = hash((content, pattern))
-    if key not in _CODERS:
+    known = remembered(MEMORY, dict)
+    if key not in known:
         bpe = Bpe(read_ranks(content), pattern)
         words: dict[str, bytes] = {}  # pre-tokens recur in many chunks
 
@@ -134,8 +136,8 @@ def coder_of(content: bytes, pattern: str) -> tuple[Bpe, ChunkCoder]:
 
         find = bpe.find
         many = lambda chunks: [b"".join([ids_of(p) for p in find(c)]) for c in chunks]
-        _CODERS[key] = bpe, ChunkCoder(many, 600_000)
-    return _CODERS[key]
+        known[key] = bpe, ChunkCoder(many, 600_000)
+    return known[key]
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
@@ -171,4 +173,4 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
                                 pa.array(decoded, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    return rows.mapInArrow(run, T.StructType(fields))
+    return arrow_rows(rows, run, T.StructType(fields), MEMORY)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import shutil
 import uuid
@@ -52,10 +54,40 @@ def send_code(spark: SparkSession) -> None:
         _SENT.add(context.applicationId)
 
 
-def arrow_rows(df: DataFrame, step: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand on the executors."""
+_MEMORY: dict = {}
+
+
+def remembered(key, build: Callable):
+    """What ``build`` makes, kept by this worker process for later tasks that name the same
+    ``key``. A worker keeps one such memory: tasks of another step free it first."""
+    if key not in _MEMORY:
+        forget(None)
+        _MEMORY[key] = build()
+    return _MEMORY[key]
+
+
+def forget(key) -> None:
+    """Free what this worker process keeps under other keys, also to the system."""
+    if any(k != key for k in _MEMORY):
+        for other in [k for k in _MEMORY if k != key]:
+            del _MEMORY[other]
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library has no such call
+            pass
+
+
+def arrow_rows(df: DataFrame, step: Callable, schema, memory=None) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand on the executors; ``memory`` is the key of
+    the memory that ``step`` uses, if any."""
     send_code(df.sparkSession)
-    return df.mapInArrow(step, schema)
+
+    def run(batches):
+        forget(memory)
+        yield from step(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def fresh(name: str, taken) -> str:

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm.common import arrow_rows
+
 BAND, LEAST_COVERAGE = 6, 0.8
 
 # Public notices, one name for each wording.
@@ -199,4 +201,4 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
                 [batch.column(0).take(pa.array(which, pa.int64()))]
                 + [pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return rows.mapInArrow(run, schema)
+    return arrow_rows(rows, run, schema)

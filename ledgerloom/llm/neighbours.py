@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import settled
+from ledgerloom.llm.common import send_code, settled
 from ledgerloom.llm.hnsw import Graph, lengthened
 
 SHARD_ROWS, BLOCK_ROWS, SEARCH_WIDTH = 8192, 4096, 96
@@ -60,6 +60,7 @@ def build_index(rows: DataFrame, most_ids: int, shard_rows: int = SHARD_ROWS) ->
             "ids": [np.concatenate(ids).astype("<i8").tobytes()],
             "counts": [np.array([len(x) for x in ids], "<i4").tobytes()]})
 
+    send_code(dealt.sparkSession)
     return settled(dealt.groupBy("shard").applyInPandas(
         build, "shard int, entry int, flat array<binary>, vectors binary, width int, original binary, "
                "ids binary, counts binary"), "vector-index")
@@ -106,6 +107,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_WID
             ["query_id", "score", "vec_id"], ascending=[True, False, True])
         return out.groupby("query_id", sort=False).head(k)
 
+    send_code(queries.sparkSession)
     found = numbered.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(
         look, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

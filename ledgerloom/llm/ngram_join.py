@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.chunks import blocks
-from ledgerloom.llm.common import fresh, settled, shipped
+from ledgerloom.llm.common import arrow_rows, fresh, settled, shipped
 from ledgerloom.llm.components import components
 from ledgerloom.llm.wordhash import Words, mix
 
@@ -79,7 +79,7 @@ def frequent_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(token[often].view(np.int64)), pa.array(count[often])], ["token", "n"])
 
-    counts = settled(rows.select("text").mapInArrow(repeats, "token long, n long").groupBy("token")
+    counts = settled(arrow_rows(rows.select("text"), repeats, "token long, n long").groupBy("token")
                      .agg(F.sum("n").alias("n")).where("n >= 16"), "repeated-shingles")
     # Whole levels of frequency, from the highest down, as many as the bound allows.
     level = F.floor(8 * F.log2("n"))
@@ -145,7 +145,7 @@ def profiles(rows: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
         [T.StructField("id", rows.schema["id"].dataType), T.StructField("text_md5", T.StringType())]
         + [T.StructField(n, T.LongType()) for n in ("class", "check", "size", "group", *BITS)]
         + [T.StructField("prefix", T.ArrayType(T.LongType()))])
-    return rows.withColumn("text_md5", F.md5("text")).mapInArrow(run, schema)
+    return arrow_rows(rows.withColumn("text_md5", F.md5("text")), run, schema)
 
 
 def buckets(found: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, pe
                         [part.column(c).take(pa.array(keep, pa.int64())) for c in ("class", "b")]
                         + [pa.array(out, pa.binary())], ["class", "b", "set"])
 
-        return texts.mapInArrow(run, "class long, b long, set binary")
+        return arrow_rows(texts, run, "class long, b long, set binary")
 
     left = sets(pairs.select(F.col("a").alias("class"), "b"), "wanted-a").select(F.col("class").alias("a"), "b", F.col("set").alias("x"))
     right = sets(pairs.select(F.col("b").alias("class")).distinct().withColumn("b", F.col("class")), "wanted-b")
@@ -219,7 +219,7 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, pe
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+    return arrow_rows(left.join(right, "b").select("a", "b", "x", "y"), compare, "a long, b long").distinct()
 
 
 def class_labels(found: DataFrame, rows: DataFrame, width: int, percent: int, seed: int,

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm.common import arrow_rows, send_code
+
 KINDS = ("email", "ip", "card", "phone")
 LIKE = tuple(k + "_like" for k in KINDS)
 ORDER = {k: i for i, k in enumerate(KINDS + LIKE)}
@@ -357,7 +359,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()),
                  pa.array(spans, pa.string()), pa.array(added, pa.int64())], names)
 
-    return rows.mapInArrow(run, schema)
+    return arrow_rows(rows, run, schema)
 
 
 def masked(text: str, spans) -> str:
@@ -379,6 +381,7 @@ def masked(text: str, spans) -> str:
 def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the spans in its text masked; null texts stay null."""
     weights = trained()
+    send_code(docs.sparkSession)
 
     @F.pandas_udf("string")
     def mask(texts):

@@ -26,6 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import send_code
 from ledgerloom.llm.labelled import curve, fold, logistic, training_rows
 
 DICTIONARY_ROWS, CURVE_ROWS = 2000, 3000
@@ -97,6 +98,7 @@ def quality(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0,
     train = training_rows(docs, labels, label, fold(F.col("doc_id"), parts) != held, id_col, text_col)
     good, bad, weights = fit(train)
     cache = {}
+    send_code(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.chunks import blocks
-from ledgerloom.llm.common import settled, shipped
+from ledgerloom.llm.common import arrow_rows, settled, shipped
 from ledgerloom.llm.wordhash import Words
 
 SIZE, PERIOD, COVER = 35, 21, (0, 1, 4, 14, 16)
@@ -75,7 +75,7 @@ def anchors(docs: DataFrame, size: int, period: int, cover: tuple[int, ...]) ->
                     [_signed(words.windows(length)[take]), pa.array(k1),
                      pa.array(k2 << PLACE_BITS | place[take])], ["h", "k1", "kp"])
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "h long, k1 long, kp long")
+    return arrow_rows(docs.select("k1", "k2", "text"), run, "h long, k1 long, kp long")
 
 
 def alone(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,7 +132,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ("kept_sha256", T.StringType()))] + text_field)
     lonely = settled(alone(anchors(rows, size, period, cover), ["h"]), "anchors-alone")
     state = settled(
-        rows.select("id", "k1", "k2", "text").mapInArrow(profile, profiled)
+        arrow_rows(rows.select("id", "k1", "k2", "text"), profile, profiled)
         .join(lonely.select("k1", "k2", F.size("alone").alias("n_alone")), ["k1", "k2"], "left")
         .withColumn("suspect", F.col("n_anchors") > F.coalesce("n_alone", F.lit(0))), "profiles")
     # Only texts that share an anchor are shuffled, while the list of them is short.
@@ -157,9 +157,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 [batch.column(c) for c in ("id", "k1", "k2", "text")] + [pa.array(out, pa.binary())],
                 possible.names)
 
-    undecided = settled(
+    undecided = settled(arrow_rows(
         rows.join(shipped(suspects), ["k1", "k2"]).join(lonely, ["k1", "k2"], "left")
-        .select("id", "k1", "k2", "text", "alone").mapInArrow(judge, possible), "windows")
+        .select("id", "k1", "k2", "text", "alone"), judge, possible), "windows")
 
     def extend(batches):
         for batch in batches:
@@ -175,8 +175,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     [_signed(words.windows(size, 1)[take]), _signed(words.windows(size, 2)[take]),
                      pa.array(k1), pa.array(k2 << PLACE_BITS | place)], ["h", "h2", "k1", "kp"])
 
-    windows = undecided.select("k1", "k2", "text", "starts").mapInArrow(
-        extend, "h long, h2 long, k1 long, kp long")
+    windows = arrow_rows(
+        undecided.select("k1", "k2", "text", "starts"), extend, "h long, h2 long, k1 long, kp long")
     lonely_windows = settled(alone(windows, ["h", "h2"]), "windows-alone")
 
     fields = [id_field, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
@@ -198,8 +198,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 columns.append(pa.array([x.decode() for x in left], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    late = (undecided.join(lonely_windows, ["k1", "k2"], "left")
-            .select("id", "text", "starts", "alone").mapInArrow(remove, T.StructType(fields)))
+    late = arrow_rows(undecided.join(lonely_windows, ["k1", "k2"], "left")
+                      .select("id", "text", "starts", "alone"), remove, T.StructType(fields))
     early = state.where("not suspect").withColumn("n_removed", F.lit(0).cast("long")).select(
         *[f.name for f in fields])
     return early.unionByName(late).withColumnRenamed("id", id_col)

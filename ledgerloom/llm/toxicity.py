@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.chunks import blocks
-from ledgerloom.llm.common import settled
+from ledgerloom.llm.common import arrow_rows, remembered, send_code, settled
 from ledgerloom.llm.labelled import curve, fold, logistic, training_rows
 
 SYMBOLS = 28  # word edge, a to z, any other letter
@@ -82,7 +82,7 @@ def trigram_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
 
-    rows = (docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "gram long, n long")
+    rows = (arrow_rows(docs.select(F.col(f"`{text_col}`").alias("text")), count, "gram long, n long")
             .groupBy("gram").agg(F.sum("n").alias("n")).collect())  # at most SYMBOLS ** 3 rows
     counts = np.zeros(SYMBOLS**3)
     for r in rows:
@@ -254,14 +254,14 @@ def fit(docs: DataFrame, train: DataFrame, text_col: str) -> Model:
     costs = trigram_costs(trigram_counts(docs, text_col))
 
     def restore(batches):
-        reader = Restorer(costs)
+        reader = reader_of(costs)
         for batch in batches:
             for at, texts in blocks(batch.column("text")):
                 found = [buckets(reader.words(t)).astype("<i4").tobytes() for t in texts.to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("label").slice(at, len(texts)), pa.array(found, pa.binary())], ["label", "at"])
 
-    marked = settled(train.mapInArrow(restore, "label int, at binary"), "toxic-words")
+    marked = settled(arrow_rows(train, restore, "label int, at binary", MEMORY), "toxic-words")
 
     def count(batches):
         both = np.zeros((2, BUCKETS), np.int64)
@@ -273,7 +273,7 @@ def fit(docs: DataFrame, train: DataFrame, text_col: str) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[1, at]), pa.array(both[0, at])],
                                          ["bucket", "toxic", "other"])
 
-    counted = (marked.mapInArrow(count, "bucket long, toxic long, other long").groupBy("bucket")
+    counted = (arrow_rows(marked, count, "bucket long, toxic long, other long", MEMORY).groupBy("bucket")
                .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
                .where(F.col("toxic") + F.col("other") >= LEAST_ROWS))
     toxic, other = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -293,7 +293,7 @@ def fit(docs: DataFrame, train: DataFrame, text_col: str) -> Model:
                                              ["label", "x"])
 
     # One short row for each of the bounded number of labelled texts.
-    measured = marked.mapInArrow(measure, "label int, x array<double>").toPandas()
+    measured = arrow_rows(marked, measure, "label int, x array<double>", MEMORY).toPandas()
     x = np.array(measured["x"].tolist()).reshape(-1, STRONGEST + 1)
     model.weights = logistic(x, measured["label"].to_numpy(float))
     return model
@@ -311,18 +311,30 @@ def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2,
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-_READERS: dict[int, Restorer] = {}
+MEMORY = "toxicity"
+
+
+def reader_of(costs: np.ndarray) -> Restorer:
+    """One reader for each worker process, so that words read once serve later tasks,
+    those that fit and those that score alike."""
+    key = zlib.crc32(costs.tobytes())
+    known = remembered(MEMORY, dict)
+    if key not in known:
+        known.clear()
+        known[key] = Restorer(costs)
+    return known[key]
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
     """``docs`` with every column and a score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    send_code(docs.sparkSession)
+
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
         model = sent.value
-        key = zlib.crc32(model.costs.tobytes())
-        reader = _READERS.setdefault(key, Restorer(model.costs))
+        reader = reader_of(model.costs)
         x = np.array([model.features(buckets(reader.words(t))) for t in texts]).reshape(-1, STRONGEST + 1)
         return pd.Series(curve(x, model.weights))
 
