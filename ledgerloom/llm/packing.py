@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.chunks import ChunkCoder, blocks
-from ledgerloom.llm.common import settled
+from ledgerloom.llm.common import arrow_rows, remembered, settled
 
 # Search steps after the first descent. More steps may save a few sequences.
 STEPS = 4000
@@ -235,22 +235,23 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int,
                      pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                      pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
 
-    return rows.mapInArrow(cut, T.StructType([
+    return arrow_rows(rows, cut, T.StructType([
         T.StructField("id", id_type), T.StructField("piece", T.IntegerType()),
         T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
-        T.StructField("ids_crc32", T.LongType())]))
+        T.StructField("ids_crc32", T.LongType())]), MEMORY)
 
 
-_CODERS: dict[int, ChunkCoder] = {}
+MEMORY = "packing"
 
 
 def token_coder(vocabulary: str) -> ChunkCoder:
-    """One coder for each worker process, so that what it has learnt serves later tasks."""
-    if hash(vocabulary) not in _CODERS:
+    """One coder for each worker process, so that what it has learnt serves later tasks. The
+    strings of special tokens give their ids; none holds a space, so no cut parts one."""
+    known = remembered(MEMORY, dict)
+    if hash(vocabulary) not in known:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(vocabulary)
-        tokenizer.encode_special_tokens = True
 
         def encode_many(chunks: list[str]) -> list[bytes]:
             out = []
@@ -259,8 +260,8 @@ def token_coder(vocabulary: str) -> ChunkCoder:
                 out += [np.array(e.ids, "<u4").tobytes() for e in done]
             return out
 
-        _CODERS[hash(vocabulary)] = ChunkCoder(encode_many)
-    return _CODERS[hash(vocabulary)]
+        known[hash(vocabulary)] = ChunkCoder(encode_many)
+    return known[hash(vocabulary)]
 
 
 def ranked(rows: DataFrame) -> DataFrame:
@@ -320,4 +321,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
                           + [cut.schema[c] for c in ("piece", "start", "length", "ids_crc32")]
                           + [T.StructField("sequence_id", T.LongType()),
                              T.StructField("offset", T.LongType())])
-    return ranked(cut).select("id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, schema)
+    return arrow_rows(ranked(cut).select("id", "piece", "start", "length", "ids_crc32", "rank"), place, schema, MEMORY)
