@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom import vocab
 from ledgerloom.operators.matching import expected_net
+from ledgerloom.operators.ordering import top_per_group
+from ledgerloom.session import written
 
 ROW = ["num", "name", "status", "failure_count", "severity", "notes"]
 
@@ -135,12 +137,10 @@ def orphan_counts(tables: dict[str, DataFrame], pairs=None, samples: int = 10) -
     """Orphans per foreign key, with the first few ids in order."""
     pairs = list(pairs or vocab.FOREIGN_KEYS)
     key = ["child_table", "column_name", "parent_table"]
-    total = F.sum("rows").over(Window.partitionBy(*key))
-    order = F.row_number().over(Window.partitionBy(*key).orderBy("orphan_id"))
-    few = _lost(tables, pairs).withColumn("place", order).withColumn("orphans", total).filter(
-        F.col("place") <= samples).groupBy(*key).agg(
-        F.first("orphans").alias("orphans"),
+    lost = written(_lost(tables, pairs), "orphans")
+    firsts = top_per_group(lost, key, [F.col("orphan_id")], samples).groupBy(*key).agg(
         F.array_join(F.sort_array(F.collect_list("orphan_id")), ",").alias("sample_ids"))
+    few = lost.groupBy(*key).agg(F.sum("rows").alias("orphans")).join(firsts, key)
     spark = few.sparkSession
     return spark.createDataFrame(pairs, "child_table string, column_name string, "
                                  "parent_table string").join(few, key, "left").select(
@@ -393,7 +393,7 @@ def invariants(t: dict[str, DataFrame]) -> DataFrame:
 def _presence_row(num: int, name: str, rows: DataFrame) -> DataFrame:
     """Passes when there is any row; an empty table is worth a note, no failure."""
     none = F.col("n") == 0
-    return rows.agg(F.count(F.lit(1)).alias("n")).select(
+    return rows.limit(1).agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(num).alias("num"), F.lit(name).alias("name"),
         F.when(none, "WARN").otherwise("PASS").alias("status"),
         F.lit(0).cast("bigint").alias("failure_count"),

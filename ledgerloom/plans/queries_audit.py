@@ -372,7 +372,9 @@ r as (select num, name, case when n > 0 then bad else 'PASS' end as status,
 def _whole_report(fx):
     from ledgerloom.plans.queries_ingest import _batch
 
-    origin = audit.provenance(_drift(fx), _lineage_tables(fx), _seen(fx), _batch(fx).quarantine,
+    # The report reads the quarantine as it was stored.
+    quarantine = fx.stored("quarantine", lambda: _batch(fx).quarantine)
+    origin = audit.provenance(_drift(fx), _lineage_tables(fx), _seen(fx), quarantine,
                               derive.truth_edges(fx.all()), fx.payments)
     return audit.report(fx.all(), origin)
 
