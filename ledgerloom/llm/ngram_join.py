@@ -9,14 +9,16 @@ very end; any order gives the same answer.
    are one group, and only groups enter the join.
 2. Groups that share a prefix shingle form a bucket. A bucket is never expanded to
    all its pairs. While buckets of over ``LARGE`` members hold several components,
-   every member of one meets a member of its buckets that is drawn anew each round;
-   the nearest is verified on the whole sets, and verified links join components.
-3. Last, in buckets that still hold several components, members outside the
-   bucket's largest component meet all members of other components. A pair is
-   verified if its sizes, its parity bitmaps (their distance is at most the sets'
-   difference) and the number of prefix shingles it shares allow the threshold.
-   Pairs inside a component need no test: they change nothing. So the components
-   are those of all links.
+   every member of one meets a member of its buckets that is drawn anew each round,
+   if the sizes of their groups allow a link; the nearest is verified on the whole
+   sets, and verified links join components.
+3. Last, in buckets that still hold several components, groups with members outside
+   the bucket's largest component meet the groups of other components; large buckets
+   are split by size for it. A pair of groups stays if its sizes and the number of
+   prefix shingles it shares allow the threshold, and only such pairs are expanded to
+   members; a pair of members is verified if its parity bitmaps allow it too (their
+   distance is at most the sets' difference). Pairs inside a component need no test:
+   they change nothing. So the components are those of all links.
 
 Defined results: words are runs of bytes other than space and \\x09-\\x0d, A-Z
 lower-cased; null and blank texts have no shingles and link with nothing; rows that
@@ -28,6 +30,8 @@ that met in one number would be seen and all numbers drawn anew.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -167,11 +171,16 @@ def buckets(found: DataFrame) -> DataFrame:
     return pairs.unionByName(looked.withColumn("weight", F.lit(1).cast("long"))).unionByName(alike)
 
 
+def alike_sizes(percent: int):
+    """Condition on ``size`` and ``size2`` that every linked pair meets."""
+    return 100 * F.least("size", "size2") >= percent * F.greatest("size", "size2")
+
+
 def allowed(percent: int):
     """Condition on a pair of sizes and bitmaps (columns ``size``, ``bits`` and the same
     with ``2``) that every linked pair meets."""
     apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(b + "2"))) for b in BITS), F.lit(0))
-    return ((100 * F.least("size", "size2") >= percent * F.greatest("size", "size2"))
+    return (alike_sizes(percent)
             & (apart * (100 + percent) <= (F.col("size") + F.col("size2")) * (100 - percent))), apart
 
 
@@ -229,25 +238,33 @@ def class_labels(found: DataFrame, rows: DataFrame, width: int, percent: int, se
         found.where("size > 0").groupBy("class").agg(
             F.min("id").alias("sample"), *[F.first(c).alias(c) for c in ("size", "group", *BITS)])
         .withColumn("seed", F.lit(seed).cast("long")), "classes")
-    members = settled(buckets(found).join(nodes.select("class", "size", "group", *BITS), "group").drop("group"), "buckets")
-    big = settled(members.groupBy("bucket").agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE).select("bucket"), "large-buckets")
+    members = settled(buckets(found), "buckets")
+    sizes = nodes.groupBy("group").agg(F.count("*").alias("_n"))
+    big = settled(members.join(sizes, "group").groupBy("bucket").agg(F.sum("_n").alias("_n"))
+                  .where(F.col("_n") > LARGE).select("bucket"), "large-buckets")
     condition, apart = allowed(percent)
     links, labels = None, None
     other = [F.col(c).alias(c + "2") for c in ("class", "size", *BITS)]
+    band = F.floor(F.log("size") / (max(math.log(100 / percent), 1e-3) * 1.000001))
 
     for turn in range(rounds + 1):
         if labels is None:
-            now = members.withColumn("label", F.col("class"))
+            labelled = nodes.withColumn("label", F.col("class"))
         else:
-            now = members.join(labels, members["class"] == labels["node"], "left").withColumn(
+            labelled = nodes.join(labels, nodes["class"] == labels["node"], "left").withColumn(
                 "label", F.coalesce("label", "class")).drop("node")
-        if turn < rounds:
-            now = now.join(big, "bucket")
-        mixed = now.groupBy("bucket").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l <> _h").select("bucket")
+        labelled = settled(labelled.select("class", "size", "group", "label", *BITS), "labelled")
+        # Classes of one group and one component are one row until their group pairs are filtered.
+        parts = labelled.groupBy("group", "label").agg(
+            F.first("size").alias("size"), F.count("*").alias("n"), F.min("class").alias("least"))
+        now = (members.join(big, "bucket") if turn < rounds else members).join(parts, "group")
+        mixed = now.groupBy("bucket").agg(
+            F.min("label").alias("_l"), F.max("label").alias("_h"), F.sum("n").alias("_all")
+        ).where("_l <> _h").select("bucket", "_all")
         now = settled(now.join(mixed, "bucket"), "mixed-buckets")
         if not now.head(1):
             continue
-        counted = now.groupBy("bucket", "label").agg(F.count("*").alias("_n"))
+        counted = now.groupBy("bucket", "label").agg(F.sum("n").alias("_n"))
         largest = settled(counted.groupBy("bucket").agg(
             F.max_by("label", F.struct("_n", F.xxhash64("label", F.lit(turn)))).alias("_main")), "largest-components")
         placed = now.join(largest, "bucket")
@@ -255,24 +272,41 @@ def class_labels(found: DataFrame, rows: DataFrame, width: int, percent: int, se
         if turn < rounds:
             # Each member outside the largest component of a bucket meets one drawn
             # member of that component; of all it meets, the nearest stays.
-            order = F.xxhash64("bucket", "class", F.lit(turn))
-            drawn = placed.where("label = _main").groupBy("bucket").agg(F.min_by("class", order).alias("class2"))
-            met = outside.join(drawn, "bucket").select("class", "class2", "size", *BITS).distinct()
-            met = met.join(nodes.select(*other), "class2").where(condition)
+            order = F.xxhash64("bucket", "group", "label", F.lit(turn))
+            drawn = placed.where("label = _main").groupBy("bucket").agg(
+                F.min_by(F.struct(F.col("least").alias("class2"), F.col("size").alias("size2")), order).alias("_d"))
+            met = outside.join(drawn.select("bucket", "_d.*"), "bucket").where(alike_sizes(percent))
+            met = met.select("group", "label", "class2").distinct()
+            met = labelled.join(met, ["group", "label"]).join(labelled.select(*other), "class2").where(condition)
             pairs = met.withColumn("_d", apart).groupBy("class").agg(F.min_by("class2", F.struct("_d", "class2")).alias("b"))
             pairs = pairs.select(F.col("class").alias("a"), "b")
         else:
-            across = placed.select("bucket", F.col("label").alias("label2"), F.col("_main").alias("_main2"), *other)
-            met = outside.join(across, "bucket").where(
-                (F.col("label") != F.col("label2")) & condition
-                & ((F.col("label2") == F.col("_main2")) | (F.col("class") < F.col("class2"))))
-            # Each bucket that a pair shares has given one row. Shingles beyond the
+            # Sizes within the threshold lie in one band or in neighbouring ones, so large
+            # buckets are split by bands.
+            large = F.col("_all") > LARGE
+            across = placed.select("bucket", F.when(large, band).otherwise(0).alias("band"), "_main",
+                                   F.struct("group", "label").alias("b"), F.col("size").alias("size2"))
+            outside = outside.select(
+                "bucket", "weight", F.struct("group", "label").alias("a"), "size",
+                F.explode(F.when(large, F.array(band - 1, band, band + 1)).otherwise(
+                    F.array(F.lit(0).cast("long")))).alias("band"))
+            met = outside.join(across, ["bucket", "band"]).where(
+                (F.col("a.label") != F.col("b.label")) & alike_sizes(percent)
+                & ((F.col("b.label") == F.col("_main")) | (F.col("a") < F.col("b"))))
+            # Each bucket that two groups share has given one row. Shingles beyond the
             # prefixes cannot make up for too few shared ones within them.
-            met = met.groupBy(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).agg(
+            met = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
                 F.sum("weight").alias("_shared"), F.first("size").alias("_s"), F.first("size2").alias("_t"))
             needed = lambda n: F.ceil(F.col(n) * percent / F.lit(100))
             beyond = F.greatest(needed("_s"), needed("_t")) - 1
-            pairs = met.where((F.col("_shared") + beyond) * (100 + percent) >= percent * (F.col("_s") + F.col("_t"))).select("a", "b")
+            met = met.where((F.col("_shared") + beyond) * (100 + percent) >= percent * (F.col("_s") + F.col("_t")))
+            met = met.select(F.col("a.group").alias("group"), F.col("a.label").alias("label"),
+                             F.col("b.group").alias("group2"), F.col("b.label").alias("label2"))
+            # Only now do members appear, with their bitmaps.
+            second = labelled.select(*other, F.col("group").alias("group2"), F.col("label").alias("label2"))
+            met = settled(met, "group-pairs").join(labelled, ["group", "label"]).join(
+                second, ["group2", "label2"]).where(condition)
+            pairs = met.select(F.col("class").alias("a"), F.col("class2").alias("b"))
         pairs = settled(pairs, "candidates")
         if not pairs.head(1):
             continue
