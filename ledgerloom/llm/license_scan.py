@@ -1,12 +1,17 @@
-"""License texts in documents: rare words of templates find candidates, alignment confirms.
+"""License texts in documents: winnowed fingerprints find candidates, banded alignment confirms.
 
-A match covers at least a share of a template's words. So of any places in the template
-one more in number than a match may leave out, a match takes one: the places of its
-longest words are the anchors. An index leads from their words to places in templates;
-it is as small as the list of templates, which is a parameter. Every document word is
-looked up in it, and a template is a candidate if enough of its words are in the document
-at all; each (template, diagonal) of an anchor is then aligned within a band around the
-diagonal. A match reports the share of template words it covers and where it lies.
+Templates are cut into runs of ``GRAM`` words; of every ``WINDOW`` neighbouring runs the one
+with the smallest hash is a fingerprint, so two texts that share ``GRAM + WINDOW - 1`` words
+in a row share one. A match may leave out only so many of a template's words, which fixes how
+long a run of shared words there must be; where that is too short for the window, every run
+of that length is a fingerprint of the template (window of one). An inverted index leads from
+fingerprints to places in templates; it is as small as the list of templates, which is a
+parameter. A document's winnowed fingerprints in the index name candidates (templates that
+share as many of them, and as many words, as a match needs); from each shared fingerprint, those of the
+diagonals that hold most first, an alignment within a band extends both ways until its score
+falls too far, and pieces in order, with few words added between them, are chained. Words at
+the end of a match that more than twice as many edits cut off do not count, as in any local
+alignment. A match reports the share of template words it covers and where it lies.
 
 Defined results: words are compared in lower case without punctuation at their
 edges; a null or empty text has no match; a text may match several templates and a
@@ -20,6 +25,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +35,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm.common import arrow_rows
 
-BAND, LEAST_COVERAGE = 6, 0.8
+GRAM, WINDOW, BAND, DROP, LEAST_COVERAGE = 3, 2, 9, 24, 0.8
 
 # Public notices, one name for each wording.
 TEMPLATES = {
@@ -104,71 +111,205 @@ TEMPLATES = {
     "CC0-1.0 notice": (
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
         "this work."),
+    "ISC warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+        "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, "
+        "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    "BSD conditions": (
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution."),
+    "BSD endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission."),
 }
+# Whole licenses, from their paragraphs.
+TEMPLATES["MIT license"] = " ".join((
+    TEMPLATES["MIT grant"] + ", and to permit persons to whom the Software is furnished to do so, subject to the "
+    "following conditions:", TEMPLATES["MIT condition"], TEMPLATES["MIT warranty"]))
+TEMPLATES["ISC license"] = " ".join((
+    TEMPLATES["ISC grant"] + ", provided that the above copyright notice and this permission notice appear in all "
+    "copies.", TEMPLATES["ISC warranty"]))
+TEMPLATES["BSD-2-Clause license"] = " ".join((
+    TEMPLATES["BSD clauses"] + ":", TEMPLATES["BSD conditions"], TEMPLATES["BSD warranty"]))
+TEMPLATES["BSD-3-Clause license"] = " ".join((
+    TEMPLATES["BSD clauses"] + ":", TEMPLATES["BSD conditions"], TEMPLATES["BSD endorsement"],
+    TEMPLATES["BSD warranty"]))
 
 _WORD = re.compile(r"\S+")
 _EDGE = ".,;:!?\"'()[]{}<>*#/%&$|"
 
 
+def read_templates(folder: str) -> dict[str, str]:
+    """Whole license texts from the files of a folder, by file name, for ``templates``."""
+    return {p.name: p.read_text(encoding="utf-8") for p in sorted(Path(folder).iterdir()) if p.is_file()}
+
+
 def words_of(text: str) -> list[tuple[str, int, int]]:
     """Compared form, start and end of every word that has one."""
     return [(w, m.start(), m.end()) for m in _WORD.finditer(text) if (w := m.group().lower().strip(_EDGE))]
 
 
-def align(template: list[str], text: list[str], shift: int, band: int) -> tuple[int, int, int]:
-    """Best local alignment near the diagonal text place = template place + shift:
-    matched words, first and end place in the text. A match adds two, a replaced,
-    missing or added word takes one off."""
-    best, before = (0, 0, 0, 0), {}
-    for i, word in enumerate(template):
-        row = {}
-        for j in range(max(0, i + shift - band), min(len(text), i + shift + band + 1)):
-            options = [(0, 0, j, j)]
-            score, hits, first, _ = before.get(j - 1, (0, 0, j, j))
-            same = word == text[j]
-            options.append((score + (2 if same else -1), hits + same, first, j + 1))
-            for other in (before.get(j), row.get(j - 1)):
+def edits(n_words: int, least: float) -> int:
+    """Replaced, missing and added words, all together, up to which a template of ``n_words``
+    is always found: as many as a match may leave out, and one at least."""
+    return max(1, n_words - math.ceil(least * n_words - 1e-9))
+
+
+def shared_run(n_words: int, least: float) -> int:
+    """Words in a row that such a match shares with the template."""
+    spare = edits(n_words, least)
+    return max(1, math.ceil((n_words - spare) / (spare + 1)))
+
+
+def grams(numbers: list[int], size: int, base: int) -> list[tuple[int, int]]:
+    """(place, code) of every run of ``size`` numbers below ``base`` that holds no zero.
+    Different runs have different codes."""
+    found, code, length, top = [], 0, 0, base ** (size - 1)
+    for place, number in enumerate(numbers):
+        if not number:
+            code = length = 0
+            continue
+        code, length = code % top * base + number, length + 1
+        if length >= size:
+            found.append((place - size + 1, code))
+    return found
+
+
+def winnowed(found: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
+    """Of every ``window`` neighbouring runs the one with the smallest hash; the last, if equal."""
+    hashed = [(code * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, -place, code) for place, code in found]
+    picked = set()
+    for i in range(len(hashed) - window + 1):
+        some = hashed[i:i + window]
+        if some[0][1] - some[-1][1] == window - 1:
+            picked.add(min(some)[1:])
+    return sorted((-place, code) for place, code in picked)
+
+
+def extend(template: list[str], text: list[str], i: int, j: int, step: int) -> tuple[int, int, int]:
+    """Best alignment that starts at template place ``i`` and text place ``j`` and goes on by
+    ``step`` (1 or -1) within the band: matched words, template words and text words used.
+    A match adds two, a replaced, missing or added word takes one off; it ends where the
+    score is ``DROP`` below its best."""
+    rows = len(template) - i if step > 0 else i + 1
+    columns = len(text) - j if step > 0 else j + 1
+    equal = 0
+    while equal < min(rows, columns) and template[i + step * equal] == text[j + step * equal]:
+        equal += 1
+    i, j, rows, columns = i + step * equal, j + step * equal, rows - equal, columns - equal
+    best, before = (0, 0, 0, 0), {c: (-c, 0) for c in range(min(BAND, columns) + 1)}
+    for r in range(1, rows + 1):
+        word, row, top = template[i + step * (r - 1)], {}, None
+        for c in range(max(0, r - BAND), min(columns, r + BAND) + 1):
+            options = []
+            if c and c - 1 in before:
+                score, hits = before[c - 1]
+                same = word == text[j + step * (c - 1)]
+                options.append((score + 2, hits + 1) if same else (score - 1, hits))
+            for other in (before.get(c), row.get(c - 1)):
                 if other:
-                    options.append((other[0] - 1, other[1], other[2], other[3]))
-            row[j] = max(options)
-            if row[j][:2] > best[:2]:
-                best = row[j]
+                    options.append((other[0] - 1, other[1]))
+            if not options:
+                continue
+            row[c] = cell = max(options)
+            top = cell if top is None else max(top, cell)
+            if cell > best[:2]:
+                best = (*cell, r, c)
+        if top is None or top[0] < best[0] - DROP:
+            break
         before = row
-    return best[1:]
+    return best[1] + equal, best[2] + equal, best[3] + equal
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str], least: float):
         self.least = least
         self.templates = {name: [w for w, _, _ in words_of(t)] for name, t in templates.items()}
-        self.index: dict[str, list[tuple[str, int]]] = {}
+        self.templates = {name: words for name, words in self.templates.items() if words}
+        self.number = {w: n for n, w in enumerate(sorted({w for t in self.templates.values() for w in t}), 1)}
+        self.needed: dict[str, int] = {}  # fingerprints that a match shares at least
+        # (run length, window) -> code of a fingerprint -> places in templates
+        self.index: dict[tuple[int, int], dict[int, list[tuple[str, int]]]] = {}
         for name, words in self.templates.items():
-            spare = len(words) - max(1, math.ceil(least * len(words) - 1e-9))
-            for place in sorted(range(len(words)), key=lambda k: (-len(words[k]), k))[:spare + 1]:
-                self.index.setdefault(words[place], []).append((name, place))
+            run = shared_run(len(words), least)
+            kind = (GRAM, WINDOW) if run >= GRAM + WINDOW - 1 else (min(run, GRAM), 1)
+            # A run of r shared words holds r - size - window + 2 whole windows, and a
+            # fingerprint stands for ``window`` of them at most.
+            spare = edits(len(words), least)
+            windows = len(words) - spare - (sum(kind) - 2) * (spare + 1)
+            self.needed[name] = max(1, math.ceil(windows / kind[1]))
+            places = self.index.setdefault(kind, {})
+            for place, code in self.fingerprints([self.number[w] for w in words], *kind):
+                places.setdefault(code, []).append((name, place))
+
+    def fingerprints(self, numbers: list[int], size: int, window: int) -> list[tuple[int, int]]:
+        """(place, code). Runs with words that no template has (number 0) are left out:
+        windows that hold one cannot be shared."""
+        found = grams(numbers, size, len(self.number) + 1)
+        return winnowed(found, window) if window > 1 else found
+
+    def pieces(self, name: str, anchors: list[tuple[int, int, int]], plain: list[str]) -> list[tuple]:
+        """Alignments around shared fingerprints (text place, template place, length):
+        text end, text start, template start, template end, matched words."""
+        template, found = self.templates[name], []
+        enough = self.least * len(template) - 1e-9
+        diagonals: dict[int, list[tuple[int, int, int]]] = {}
+        for anchor in sorted(anchors):
+            diagonals.setdefault(anchor[0] - anchor[1], []).append(anchor)
+        passed: dict[int, list[tuple[int, int]]] = {}
+        whole = bytearray(len(plain))  # words inside a match that is one already
+        for shift in sorted(diagonals, key=lambda d: (-len(diagonals[d]), d)):
+            for place, at, size in diagonals[shift]:
+                if whole[place] or any(first <= place < end for d in range(shift - BAND, shift + BAND + 1)
+                                       for first, end in passed.get(d, ())[-1:]):
+                    continue
+                back = extend(template, plain, at - 1, place - 1, -1)
+                ahead = extend(template, plain, at + size, place + size, 1)
+                start, end, hits = place - back[2], place + size + ahead[2], back[0] + size + ahead[0]
+                found.append((end, start, at - back[1], at + size + ahead[1], hits))
+                passed.setdefault(shift, []).append((start, end))
+                if hits >= enough:
+                    whole[start:end] = b"\1" * (end - start)
+        return sorted(found)
+
+    def chains(self, name: str, found: list[tuple]) -> list[tuple[int, int, int]]:
+        """Matched words, first and end place in the text of the best chain to every piece.
+        Pieces follow each other in text and template, with few added words between; words
+        at which the ends of two pieces overlap count once at most."""
+        reach, out = len(self.templates[name]), []
+        spare, ends = reach // 4, [p[0] for p in found]
+        for n, (end, start, low, high, hits) in enumerate(found):
+            best = (hits, start)
+            for k in range(bisect_left(ends, start - spare - reach), bisect_right(ends, start + DROP, hi=n)):
+                shared = max(0, found[k][3] - low, ends[k] - start)
+                added = start - ends[k] - (low - found[k][3])
+                if shared <= DROP and added <= spare and found[k][1] < start and found[k][2] < low:
+                    best = max(best, (out[k][0] + hits - shared, out[k][1]))
+            out.append((*best, end))
+        return out
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """template, coverage, matched words, start, end."""
-        least, words = self.least, words_of(text)
+        words = words_of(text)
         plain = [w for w, _, _ in words]
-        held = set(plain)
-        likely = {name for w in self.index.keys() & held for name, _ in self.index[w]}
-        likely = {name for name in likely
-                  if sum(w in held for w in self.templates[name]) >= least * len(self.templates[name])}
-        shifts: dict[str, set[int]] = {}
-        for place, w in enumerate(plain) if likely else ():
-            for name, at in self.index.get(w, ()):
-                if name in likely:
-                    shifts.setdefault(name, set()).add(place - at)
-        found = []
-        for name, places in shifts.items():
-            template, last = self.templates[name], None
-            for shift in sorted(places):
-                if last is not None and shift - last <= BAND // 2:
-                    continue  # the band of the last one holds this diagonal's band too
-                last = shift
-                hits, first, end = align(template, plain, shift, BAND + BAND // 2)
-                if hits >= least * len(template):
+        numbers = [self.number.get(w, 0) for w in plain]
+        anchors: dict[str, list[tuple[int, int, int]]] = {}
+        for (size, window), places in self.index.items():
+            for place, code in self.fingerprints(numbers, size, window):
+                for name, at in places.get(code, ()):
+                    anchors.setdefault(name, []).append((place, at, size))
+        held, found = set(plain) if anchors else (), []
+        for name, shared in anchors.items():
+            template = self.templates[name]
+            enough = self.least * len(template) - 1e-9
+            if len({at for _, at, _ in shared}) < self.needed[name] or sum(w in held for w in template) < enough:
+                continue
+            for hits, first, end in self.chains(name, self.pieces(name, shared, plain)):
+                if hits >= enough:
                     found.append((-hits, -hits / len(template), words[first][1], name, words[end - 1][2]))
         kept = []
         for hits, coverage, start, name, end in sorted(found):

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -440,6 +441,81 @@ def test_license_of_every_template_and_edit():
         assert len(got) == 1 and got[0][1] >= 0.8, (template, w)
 
 
+def local_alignment(template, text):
+    """(score, matched words) of the best local alignment without a band, by the plain table."""
+    best, before = (0, 0), [(0, 0)] * (len(text) + 1)
+    for word in template:
+        row = [(0, 0)]
+        for j, other in enumerate(text):
+            score, hits = before[j]
+            pair = (score + 2, hits + 1) if word == other else (score - 1, hits)
+            row.append(max((0, 0), pair, (before[j + 1][0] - 1, before[j + 1][1]), (row[j][0] - 1, row[j][1])))
+        best, before = max(best, max(row)), row
+    return best
+
+
+def test_license_against_unbanded_alignment():
+    from ledgerloom.llm import license_scan as scan
+
+    draw = random.Random(8)
+    found = 0
+    for trial in range(250):
+        words = [draw.choice(WORDS) + draw.choice("abc") for _ in range(draw.randint(4, 60))]
+        text = list(words)
+        for _ in range(draw.randint(0, max(1, len(words) // 5))):
+            k = draw.randrange(len(text))
+            text[k:k + draw.choice((0, 1, 1))] = draw.choice((["edited"], [draw.choice(WORDS)], []))
+            text = text or ["edited"]
+        text = [*(draw.choice(WORDS) for _ in range(20)), *text, *(draw.choice(WORDS) for _ in range(20))]
+        want = local_alignment(words, text)[1]
+        got = scan.Scanner({"t": " ".join(words)}, 0.8).scan(" ".join(text))
+        if want >= 0.8 * len(words):
+            found += 1
+            assert got and max(m[2] for m in got) >= want, (words, text, want, got)
+        else:
+            assert all(m[1] >= 0.8 for m in got)
+    assert found > 100
+
+
+def test_license_index_is_winnowed():
+    from ledgerloom.llm import license_scan as scan
+
+    scanner = scan.Scanner(scan.TEMPLATES, 0.8)
+    long = scanner.index[scan.GRAM, scan.WINDOW]
+    every = sum(len(t) - scan.GRAM + 1 for t in scanner.templates.values() if scan.shared_run(len(t), 0.8) >= 4)
+    assert 0.5 * every < sum(map(len, long.values())) < 0.8 * every
+    # Any four words in a row of such a template share a fingerprint with it.
+    name = "MIT license"
+    numbers = [scanner.number[w] for w in scanner.templates[name]]
+    for i in range(len(numbers) - 3):
+        held = scanner.fingerprints(numbers[i:i + 4], scan.GRAM, scan.WINDOW)
+        assert any((name, i + place) in long.get(code, ()) for place, code in held)
+
+
+def test_whole_licenses_and_added_words():
+    from ledgerloom.llm import license_scan as scan
+
+    scanner = scan.Scanner(scan.TEMPLATES, 0.8)
+    for name in ("MIT license", "ISC license", "BSD-2-Clause license", "BSD-3-Clause license"):
+        whole = f"kabar {scan.TEMPLATES[name]} locon"
+        assert [m[:2] for m in scanner.scan(whole)] == [(name, 1.0)]
+        twice = scanner.scan(whole + " " + whole)
+        assert [m[:2] for m in twice] == [(name, 1.0)] * 2
+    words = scan.TEMPLATES["MIT warranty"].split()
+    words[40:40] = [f"added{i}" for i in range(12)]
+    assert [m[:2] for m in scanner.scan(" ".join(words))] == [("MIT warranty", 1.0)]
+    folder = "/usr/share/common-licenses"
+    if os.path.isdir(folder):
+        bodies = {n: t for n, t in scan.read_templates(folder).items() if n in ("Apache-2.0", "MPL-2.0", "GPL-2", "GPL-3")}
+        scanner = scan.Scanner(bodies, 0.8)
+        for name, text in bodies.items():
+            words = text.split()
+            words[500:500] = ["added"] * 30
+            del words[700:720]
+            got = scanner.scan(f"kabar {' '.join(words)} locon")
+            assert [m[0] for m in got] == [name] and 0.97 < got[0][1] < 1.0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
