@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from pathlib import Path
 
 import pyarrow as pa
@@ -284,10 +284,10 @@ class Scanner:
         spare, ends = reach // 4, [p[0] for p in found]
         for n, (end, start, low, high, hits) in enumerate(found):
             best = (hits, start)
-            for k in range(bisect_left(ends, start - spare - reach), bisect_right(ends, start + DROP, hi=n)):
+            for k in range(bisect_left(ends, start - spare - reach, hi=n), n):
                 shared = max(0, found[k][3] - low, ends[k] - start)
                 added = start - ends[k] - (low - found[k][3])
-                if shared <= DROP and added <= spare and found[k][1] < start and found[k][2] < low:
+                if shared < min(hits, found[k][4]) and added <= spare and found[k][1] < start and found[k][2] < low:
                     best = max(best, (out[k][0] + hits - shared, out[k][1]))
             out.append((*best, end))
         return out
