@@ -167,6 +167,45 @@ def confidence(df: DataFrame, probabilities: str) -> DataFrame:
                            "margin": ordered[0] - ordered[1]})
 
 
+def described(df: DataFrame, groups: list[str], values: list[str]) -> DataFrame:
+    """Count, mean, deviation, extremes and quartiles of each of ``values`` per group.
+
+    Quartiles are exact, linear between neighbours. Equal values are counted first; running
+    counts over sampled ranges then find the places of the quartiles, so a group of any
+    number of different values is as many ranges as it takes. Null and not-a-number are
+    left out; a group with nothing else has a count of 0 and nulls.
+    """
+    entries = F.array(*[F.struct(F.lit(v).alias("name"), F.nanvl(
+        F.col(v).cast("double"), F.lit(None)).alias("value")) for v in values])
+    keys = [*[f"_g{i}" for i in range(len(groups))], "_name"]
+    long = df.select(*[F.col(g).alias(k) for g, k in zip(groups, keys)], F.explode(entries).alias("_e")).select(
+        *keys[:-1], F.col("_e.name").alias("_name"), F.col("_e.value").alias("_value"))
+    counts = long.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    shape = long.groupBy(*keys).agg(
+        F.count("_value").alias("row_count"), F.avg("_value").alias("mean"),
+        F.stddev_samp("_value").alias("std"), F.min("_value").alias("min"), F.max("_value").alias("max"))
+    placed = running(counts.filter(F.col("_value").isNotNull()), keys, ["_value"], {"_upto": F.col("_n")})
+    both = placed.select(*[placed[k].alias(f"_p{k}") for k in keys], "_value", "_n", "_upto")
+    same = reduce(lambda a, k: a & F.col(f"_p{k}").eqNullSafe(F.col(k)), keys, F.lit(True))
+    quartiles = {"q1": 1, "median": 2, "q3": 3}
+    ends = {}
+    for name, q in quartiles.items():
+        last = F.col("row_count") - 1
+        for side, place in (("low", F.floor(last * q / 4)), ("high", F.ceil(last * q / 4))):
+            ends[f"{name}_{side}"] = F.max(F.when(
+                (place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n")), F.col("_value")))
+    facts = ["row_count", "mean", "std", "min", "max"]
+    met = shape.join(both, same, "left").groupBy(*keys, *facts).agg(*[c.alias(n) for n, c in ends.items()])
+
+    def between(name: str, q: int) -> Column:
+        share = (F.col("row_count") - 1) * q / 4
+        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        return (low + (high - low) * (share - F.floor(share))).alias(name)
+
+    return met.select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], F.col("_name").alias("value_name"),
+                      *facts[:4], *[between(n, q) for n, q in quartiles.items()], "max")
+
+
 def least_confident(df: DataFrame, key: str, limit: int = 50) -> DataFrame:
     return df.orderBy("margin", key).limit(limit)
 

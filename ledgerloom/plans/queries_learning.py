@@ -445,6 +445,27 @@ def least_confident(fx):
     return few.select("event_id", *[F.round(c, 3).alias(c) for c in ("top", "second", "margin")])
 
 
+SUMMARY = ["mean", "std", "min", "q1", "median", "q3", "max"]
+
+
+def summary_sql(value: str) -> str:
+    facts = {"mean": f"avg({value})", "std": f"stddev_samp({value})", "min": f"min({value})",
+             "q1": f"quantile_cont({value}, 0.25)", "median": f"quantile_cont({value}, 0.5)",
+             "q3": f"quantile_cont({value}, 0.75)", "max": f"max({value})"}
+    return f"count({value}) as row_count, " + ", ".join(
+        f"round(cast({facts[n]} as double), 6) as {n}" for n in SUMMARY)
+
+
+@query("confidence_summary", "\nunion all\n".join(
+    f"select actual, '{name}' as value_name, {summary_sql(value)} from (select actual, "
+    f"list_reverse_sort([px, py, pz]) as s from ({PROBS_SQL})) group by actual"
+    for name, value in (("top", "s[1]"), ("second", "s[2]"), ("margin", "(s[1] - s[2])"))))
+def confidence_summary(fx):
+    judged = evaluate.confidence(_probabilities(fx), "p")
+    found = evaluate.described(judged, ["actual"], ["top", "second", "margin"])
+    return found.select("actual", "value_name", "row_count", *[F.round(c, 6).alias(c) for c in SUMMARY])
+
+
 def _auc_sql(rows: str) -> str:
     return f"""
 select sum(neg * (up - pos / 2.0::double)) / nullif(sum(pos) * sum(neg), 0) as roc_auc

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom import vocab
-from ledgerloom.operators import candidates, cases, features, matching, rankjoin
+from ledgerloom.operators import candidates, cases, evaluate, features, matching, rankjoin
 from ledgerloom.operators.derive import id_number
 from ledgerloom.plans.catalog import query
 
@@ -331,6 +331,26 @@ def bank_candidate_menu(fx):
         "bank_record_id", "settlement_id")
 
 
+@query("candidate_count_summary", f"""
+select merchant_id, 'candidates' as value_name, count(n) as row_count,
+       {', '.join(f"round(cast({f} as double), 6) as {n}" for n, f in (
+           ("mean", "avg(n)"), ("std", "stddev_samp(n)"), ("min", "min(n)"),
+           ("q1", "quantile_cont(n, 0.25)"), ("median", "quantile_cont(n, 0.5)"),
+           ("q3", "quantile_cont(n, 0.75)"), ("max", "max(n)")))}
+from (select b.merchant_id, cast(coalesce(m.n, 0) as double) as n from t_bank_records b
+      left join (select bank_record_id, count(*) as n from t_menu group by 1) m
+      on m.bank_record_id = b.bank_record_id)
+group by merchant_id""", MENU_SQL)
+def candidate_count_summary(fx):
+    counts = _pairs(fx).filter(F.col("settlement_id").isNotNull()).groupBy("bank_record_id").agg(
+        F.count(F.lit(1)).alias("n"))
+    listed = fx.bank_records.select("merchant_id", "bank_record_id").join(
+        counts, "bank_record_id", "left").select("merchant_id", F.coalesce("n", F.lit(0)).alias("candidates"))
+    found = evaluate.described(listed, ["merchant_id"], ["candidates"])
+    return found.select("merchant_id", "value_name", "row_count", *[
+        F.round(c, 6).alias(c) for c in ("mean", "std", "min", "q1", "median", "q3", "max")])
+
+
 @query("bank_settlement_rules", resolved_sql("t_judged_pairs"), MENU_SQL)
 def bank_settlement_rules(fx):
     return brief(candidates.resolve(candidates.reference_pairs(fx.bank_records, fx.settlements)))
