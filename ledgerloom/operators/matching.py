@@ -386,9 +386,11 @@ def within_tolerance(pairs: DataFrame) -> DataFrame:
 FUZZY = {"id": 0.8, "text": 0.7, "amount": 0.05, "days": 3, "reference": 0.75}
 
 
-def fuzzy_flags(features: DataFrame, text_similarity: Column) -> DataFrame:
-    """Which second-tier thresholds a candidate pair passes, and how many."""
+def fuzzy_flags(features: DataFrame, text_similarity: Column, id_similarity: Column) -> DataFrame:
+    """Which second-tier thresholds a candidate pair passes, and how many; an unknown value
+    passes none."""
     tests = {
+        "fuzzy_id": id_similarity > FUZZY["id"],
         "fuzzy_reference": F.col("utr_similarity") > FUZZY["reference"],
         "fuzzy_text": text_similarity > FUZZY["text"],
         "fuzzy_amount": F.col("relative_amount_difference") < FUZZY["amount"],

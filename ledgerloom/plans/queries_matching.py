@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom import vocab
+from ledgerloom.functions.base import squeeze
+from ledgerloom.functions.identifiers import match_key, mention
+from ledgerloom.functions.similarity import similarity
 from ledgerloom.operators import candidates, cases, evaluate, features, matching, rankjoin
 from ledgerloom.operators.derive import id_number
 from ledgerloom.plans.catalog import query
@@ -590,6 +593,11 @@ def context_tolerances(fx):
 @query("fuzzy_tier_flags")
 def fuzzy_tier_flags(fx):
     ranked = features.pair_features(rankjoin.nearest_candidates(_open_bank(fx), fx.settlements))
-    flagged = matching.fuzzy_flags(ranked, F.col("description_token_overlap"))
-    return flagged.select("bank_record_id", "target_id", "fuzzy_reference", "fuzzy_text",
+    told = F.lower(squeeze(F.col("description")))
+    named = match_key(mention("description")["id"])
+    expected = F.lower(F.concat_ws(" settlement ", "target_id", "utr"))
+    flagged = matching.fuzzy_flags(
+        ranked, similarity(told, expected),
+        F.when(named != "", similarity(named, match_key("target_id"))))
+    return flagged.select("bank_record_id", "target_id", "fuzzy_id", "fuzzy_reference", "fuzzy_text",
                           "fuzzy_amount", "fuzzy_days", "fuzzy_passed")
