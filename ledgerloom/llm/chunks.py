@@ -13,7 +13,7 @@ import re
 from collections.abc import Callable
 
 # A space that stands at an edge or next to another white-space character.
-_UNEVEN = re.compile(r"(?:^|\s) | (?:\s|$)")
+_UNEVEN = re.compile(r" (?:(?!\S)|(?<!\S ))")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 LONGEST_KEPT = 64
 TAILS = ".,"
@@ -39,10 +39,10 @@ class ChunkCoder:
         cut = [split(t) for t in texts]
         if len(self.kept) > self.most:
             self.kept.clear()
-        kept = self.kept
-        found = [list(map(kept.get, one)) for one in cut]
-        lacking = [i for i, parts in enumerate(found) if None in parts]
-        new = {c for i in lacking for c, b in zip(cut[i], found[i]) if b is None}
+        kept, distinct = self.kept, set()
+        for one in cut:
+            distinct.update(one)
+        new = distinct.difference(kept)
         # A full stop or comma after a letter is always a piece of its own, so the
         # chunk without it will do: it is often known or wanted already.
         stems = {c: c[:-1] for c in new if c[-1] in TAILS and len(c) > 2 and c[-2].isalpha()}
@@ -51,10 +51,9 @@ class ChunkCoder:
         for c, stem in stems.items():
             if c not in fresh:
                 fresh[c] = (kept.get(stem) or fresh[stem]) + self.tail(c[-1])
-        for i in lacking:
-            found[i] = [fresh[c] if b is None else b for c, b in zip(cut[i], found[i])]
+        known = {c: kept[c] for c in distinct.difference(fresh)} | fresh
         kept.update((c, b) for c, b in fresh.items() if len(c) <= LONGEST_KEPT)
-        return list(map(b"".join, found))
+        return [b"".join(map(known.__getitem__, one)) for one in cut]
 
     def tail(self, sign: str) -> bytes:
         if sign not in self.tails:

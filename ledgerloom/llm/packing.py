@@ -17,6 +17,7 @@ empty result. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -242,6 +243,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int,
 
 
 MEMORY = "packing"
+JOINED = 32  # chunks given to the tokenizer as one text
+_FOLLOWS = re.compile(r" \S(?:.*\S)?", re.DOTALL).fullmatch
 
 
 def token_coder(vocabulary: str) -> ChunkCoder:
@@ -253,11 +256,37 @@ def token_coder(vocabulary: str) -> ChunkCoder:
 
         tokenizer = Tokenizer.from_str(vocabulary)
 
+        # Bytes that each id stands for: an added token's own, or one for each character.
+        sizes = np.zeros(max(tokenizer.get_vocab(True).values(), default=0) + 1, np.int64)
+        for token, i in tokenizer.get_vocab(False).items():
+            sizes[i] = len(token)
+        for i, token in tokenizer.get_added_tokens_decoder().items():
+            sizes[i] = len(token.content.encode())
+
         def encode_many(chunks: list[str]) -> list[bytes]:
-            out = []
-            for at in range(0, len(chunks), 20_000):
-                done = tokenizer.encode_batch_fast(chunks[at:at + 20_000], add_special_tokens=False)
-                out += [np.array(e.ids, "<u4").tobytes() for e in done]
+            # Chunks with a space before and no white space at the end may follow one another,
+            # as a text may be cut between them; each is found again by its bytes.
+            row = [i for i, c in enumerate(chunks) if _FOLLOWS(c)]
+            out: list = [None] * len(chunks)
+            for at in range(0, len(row), JOINED * 500):
+                part = row[at:at + JOINED * 500]
+                groups = [[chunks[i] for i in part[k:k + JOINED]] for k in range(0, len(part), JOINED)]
+                done = tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)
+                ids = np.concatenate([np.array(e.ids, "<u4") for e in done])
+                ends = np.cumsum(sizes[ids])
+                want = np.cumsum([len(c.encode()) for g in groups for c in g])
+                stop = np.searchsorted(ends, want)
+                if stop[-1] != len(ids) - 1 or (ends[stop] != want).any():
+                    continue  # a token of this vocabulary runs over a cut: one by one, below
+                raw, begin = ids.tobytes(), 0
+                for i, end in zip(part, (4 * stop + 4).tolist()):
+                    out[i], begin = raw[begin:end], end
+            left = [i for i, raw in enumerate(out) if raw is None]
+            for at in range(0, len(left), 20_000):
+                part = left[at:at + 20_000]
+                done = tokenizer.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False)
+                for i, e in zip(part, done):
+                    out[i] = np.array(e.ids, "<u4").tobytes()
             return out
 
         known[hash(vocabulary)] = ChunkCoder(encode_many)
