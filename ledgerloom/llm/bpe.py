@@ -1,8 +1,8 @@
 """Byte-level BPE with a hierarchical-bitmap queue of merge ranks.
 
 The pieces of a pre-token form a linked list. Each adjacent pair that has a rank
-is an entry in that rank's bucket; a bitmap of three levels of 64-bit words says
-which buckets hold entries, so the lowest rank is found by three find-first-set
+is an entry in that rank's bucket; a bitmap of three levels of words (of 30 bits, one
+digit of a Python number; the top is one word) says which buckets hold entries, so the lowest rank is found by three find-first-set
 steps however long the pre-token is. A merge adds at most two entries and
 removes none: entries whose pair has changed are skipped when they come up.
 Work grows with n log n for a pre-token of n bytes.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
 
 
+WORD = 30
+
+
 class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
@@ -47,65 +51,83 @@ class Bpe:
                 left, right = ranks.get(whole[:at]), ranks.get(whole[at:])
                 if left is not None and right is not None:
                     self.pairs[left * self.size + right] = rank
+        # The rank of each pair of bytes, as left * 256 + right; -1 for none.
+        self.first = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
         # The bitmap: bit r of `low` says that rank r has entries, a bit of `middle`
         # that a word of `low` is not zero, a bit of the top that a word of `middle`
         # is not. All zero between pre-tokens.
-        self.low = [0] * ((self.size >> 6) + 1)
-        self.middle = [0] * ((self.size >> 12) + 1)
+        self.low = [0] * (self.size // WORD + 1)
+        self.middle = [0] * (self.size // WORD**2 + 1)
+        # Of each rank, its word and bit in `low`, in `middle`, and its bit in the top.
+        bit = [1 << i for i in range(max(WORD, len(self.middle)))]
+        self.spot = [(r // WORD, bit[r % WORD], r // WORD**2, bit[r // WORD % WORD], bit[r // WORD**2])
+                     for r in range(self.size)]
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        low, middle, size, pair = self.low, self.middle, self.size, self.pairs.get
-        top, buckets = 0, {}
+        low, middle, size, pair, first = self.low, self.middle, self.size, self.pairs.get, self.first
+        spot, top, buckets = self.spot, 0, {}
         ids = list(map(self.single.__getitem__, piece))
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        keys = [a * size + b for a, b in zip(ids, ids[1:])]
-        fresh = [(i, rank) for i, rank in enumerate(map(pair, keys)) if rank is not None]
-        while True:
-            for i, rank in fresh:
-                if rank in buckets:
-                    heappush(buckets[rank], i)
-                    if len(buckets[rank]) > 1:
-                        continue
-                else:
-                    buckets[rank] = [i]
-                word = rank >> 6
-                low[word] |= 1 << (rank & 63)
-                middle[word >> 6] |= 1 << (word & 63)
-                top |= 1 << (word >> 6)
-            # Find first set, level by level; the leftmost entry of that rank is next.
-            while top:
-                a = (top & -top).bit_length() - 1
-                bits = middle[a]
-                b = a << 6 | (bits & -bits).bit_length() - 1
-                bits = low[b]
-                rank = b << 6 | (bits & -bits).bit_length() - 1
-                bucket = buckets[rank]
+        # The rank of the pair that begins at each place, -1 for none.
+        now = [first[a << 8 | b] for a, b in zip(piece, piece[1:])]
+        now.append(-1)
+        for i, rank in enumerate(now):
+            if rank in buckets:
+                buckets[rank].append(i)  # from the left, so a heap as it is
+            elif rank >= 0:
+                buckets[rank] = [i]
+                b, x, a, y, z = spot[rank]
+                low[b] |= x
+                middle[a] |= y
+                top |= z
+        # Find first set, level by level; the leftmost entry of that rank is next.
+        while top:
+            a = (top & -top).bit_length() - 1
+            bits = middle[a]
+            b = a * WORD + (bits & -bits).bit_length() - 1
+            bits = low[b]
+            rank = b * WORD + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
                 i = heappop(bucket)
-                if not bucket:
-                    low[b] = bits = bits & (bits - 1)
-                    if not bits:
-                        middle[a] = bits = middle[a] & (middle[a] - 1)
-                        if not bits:
-                            top &= top - 1
-                # Stale if one of the two has been merged since.
-                if (j := after[i]) < n and ids[i] >= 0 and pair(ids[i] * size + ids[j]) == rank:
-                    break
             else:
-                return [x for x in ids if x >= 0]
-            ids[i], ids[j] = rank, -1
+                i = bucket[0]
+                del buckets[rank]
+                low[b] = bits = bits & (bits - 1)
+                if not bits:
+                    middle[a] = bits = middle[a] & (middle[a] - 1)
+                    if not bits:
+                        top &= top - 1
+            # Stale if one of the two has been merged since.
+            if now[i] != rank:
+                continue
+            j = after[i]
             k = after[i] = after[j]
-            fresh = []
+            ids[i], ids[j], now[j] = rank, -1, -1
             if k < n:
                 before[k] = i
-                if (r := pair(rank * size + ids[k])) is not None:
-                    fresh.append((i, r))
-            if (h := before[i]) >= 0 and (r := pair(ids[h] * size + rank)) is not None:
-                fresh.append((h, r))
+                fresh = [(i, pair(rank * size + ids[k], -1))]
+            else:
+                fresh = [(i, -1)]
+            h = before[i]
+            if h >= 0:
+                fresh.append((h, pair(ids[h] * size + rank, -1)))
+            for i, rank in fresh:
+                now[i] = rank
+                if rank in buckets:
+                    heappush(buckets[rank], i)
+                elif rank >= 0:
+                    buckets[rank] = [i]
+                    b, x, a, y, z = spot[rank]
+                    low[b] |= x
+                    middle[a] |= y
+                    top |= z
+        return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.find(text) for i in self.encode_piece(piece.encode())]
@@ -127,7 +149,8 @@ def coder_of(content: bytes, pattern: str) -> tuple[Bpe, ChunkCoder]:
         def ids_of(piece: str) -> bytes:
             raw = words.get(piece)
             if raw is None:
-                raw = np.array(bpe.encode_piece(piece.encode()), "<u4").tobytes()
+                ids = bpe.encode_piece(piece.encode())
+                raw = pack(f"<{len(ids)}I", *ids)
                 if len(piece) <= 32:
                     if len(words) > 600_000:
                         words.clear()
