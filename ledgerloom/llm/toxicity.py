@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -57,6 +58,7 @@ SIGN, STAR, READ_OUT, LEFT_OUT, LETTER_OUT, TWICE_OUT, RUN_OUT = 0.5, 2.0, 5.0,
 _SPACED = re.compile(r"(?<!\S)\S(?:\s++\S){2,}[.,;:!?]*(?!\S)")
 _TWICE = re.compile(r"([a-z])\1+")
 _READ = re.compile("[" + re.escape("".join(READINGS)) + "]")
+_WIDE = re.compile(r"[^\x00-\x7f]")
 _EDGE = ".,;:?!\"'()[]{}|-_=#%&*~`^/\\"
 
 _CLASS = np.zeros(256, np.int64)
@@ -101,6 +103,17 @@ def trigram_costs(counts: np.ndarray) -> np.ndarray:
     return -np.log(p3)
 
 
+@lru_cache(1 << 16)
+def _bare(letter: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c))
+
+
+def _plain(match) -> str:
+    """Compatibility form of a letter beyond ASCII, without marks. Letter by letter it is that
+    of the text, as only marks change places there."""
+    return _bare(match.group())
+
+
 class Restorer:
     """Reads hidden words; what it has read is remembered up to a bound."""
 
@@ -114,8 +127,8 @@ class Restorer:
         # Marks at the edges are cheap to leave out.
         first = len(token) - len(token.lstrip(_EDGE.replace("!", "")))
         last = len(token.rstrip(_EDGE))
-        # Beam of states: (symbol before last, last symbol) -> price, letters read.
-        states = {(0, 0): (0.0, None)}
+        # Beam of states: symbol before last * SYMBOLS + last symbol -> price, letters read.
+        states = {0: (0.0, None)}
         for i, ch in enumerate(token):
             if ch.isalpha():
                 code = ord(ch) - 96 if "a" <= ch <= "z" else 27
@@ -130,26 +143,28 @@ class Restorer:
                 if ch == "*" and skip == READ_OUT and token[i - 1:i] == ch:
                     skip = RUN_OUT
             following: dict = {}
-            for (a, b), (cost, read) in states.items():
-                best = following.get((a, b))
-                if best is None or cost + skip < best[0]:
-                    following[a, b] = (cost + skip, read)
-                base = (a * SYMBOLS + b) * SYMBOLS
+            found = following.get
+            mark = ch != "*" and not ch.isalnum()
+            for state, (cost, read) in states.items():
+                best, total = found(state), cost + skip
+                if best is None or total < best[0]:
+                    following[state] = (total, read)
+                base = state * SYMBOLS
+                row = base % SYMBOLS**2  # the last symbol * SYMBOLS
                 for code, letter, price in options:
-                    total = cost + price + costs[base + code]
-                    best = following.get((b, code))
+                    best, total = found(row + code), cost + price + costs[base + code]
                     if best is None or total < best[0]:
-                        following[b, code] = (total, (read, letter))
-                if b and ch != "*" and not ch.isalnum():
-                    self.edge(following, a, b, cost + LEFT_OUT, read)
+                        following[row + code] = (total, (read, letter))
+                if mark and row:
+                    self.edge(following, state, cost + LEFT_OUT, read)
             if spaced and i + 1 < len(token):
-                for (a, b), (cost, read) in list(following.items()):
-                    if b:
-                        self.edge(following, a, b, cost, read)
+                for state, (cost, read) in list(following.items()):
+                    if state % SYMBOLS:
+                        self.edge(following, state, cost, read)
             states = following
         # After an edge the word has ended, and its end is paid for; no word has no end to pay.
-        end = min((cost + (costs[(a * SYMBOLS + b) * SYMBOLS] if b else 0.0), str(i), read)
-                  for i, ((a, b), (cost, read)) in enumerate(states.items()))[2]
+        end = min((cost + (costs[state * SYMBOLS] if state % SYMBOLS else 0.0), str(i), read)
+                  for i, (state, (cost, read)) in enumerate(states.items()))[2]
         letters = []
         while end is not None:
             end, letter = end
@@ -168,12 +183,13 @@ class Restorer:
         prices += [cost(u, x, x) + cost(x, x, v) + (k - 2) * cost(x, x, x) + skip * (n - k) for k in range(2, n + 1)]
         return match.group(1) * (prices.index(min(prices)) + 1)
 
-    def edge(self, following: dict, a: int, b: int, cost: float, read) -> None:
-        """Ends a word in the state (a, b)."""
-        total = cost + self.costs[(a * SYMBOLS + b) * SYMBOLS]
-        best = following.get((b, 0))
+    def edge(self, following: dict, state: int, cost: float, read) -> None:
+        """Ends a word in a state."""
+        total = cost + self.costs[state * SYMBOLS]
+        ended = state % SYMBOLS * SYMBOLS
+        best = following.get(ended)
         if best is None or total < best[0]:
-            following[b, 0] = (total, (read, " "))
+            following[ended] = (total, (read, " "))
 
     def word(self, token: str, spaced: bool = False) -> str:
         """The restored form of one token, perhaps empty or several words."""
@@ -211,11 +227,15 @@ class Restorer:
         """Restored words of a whole text."""
         text = text.lower()
         if not text.isascii():
-            text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
-        found = set(map(self.word, set(text.split())))
+            text = _WIDE.sub(_plain, text).lower()
+        tokens = set(text.split())
+        found = set(map(self.kept.get, tokens))
+        if None in found:
+            found.discard(None)
+            found.update(map(self.word, [t for t in tokens if t not in self.kept]))
         for run in _SPACED.findall(text):
             found.add(self.word("".join(run.split()), True))
-        return {w for read in found for w in read.split()}
+        return set(" ".join(found).split())
 
 
 def buckets(words: set[str]) -> np.ndarray:
